@@ -1,0 +1,260 @@
+"""Records that stand in two splits: a full-text index of evaluation shards, through which the training split is streamed.
+
+A record's distinct words are laid out rarest first, so that neither formatting nor word order matters; a shard's records
+make one text over the alphabet of its words, kept as the sorted (symbol, row) pairs of its Burrows-Wheeler transform. In
+that form one binary search extends a match by a word to the left, for a whole batch of training records at once.
+"""
+
+from __future__ import annotations
+
+import io
+import pickle
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from factloom.functions.canonical import letters_digits
+from factloom.plans.session import cut
+
+#: Records of a shard, which bounds what is broadcast; matches are looked up once no more than SELECTIVE records hold them.
+SHARD_RECORDS, SELECTIVE, RAREST = 50_000, 32, 6
+WORD = re.compile(r"[^\W_]+")
+STARTS = re.compile(r"(?:^|[.!?:;•\n“\"«»(\[]|\d\.)\s*$")
+
+
+@dataclass
+class Record:
+    """A record's words: counts, those that are names, and those at a sentence's start or in a text without letter case."""
+
+    words: Counter
+    names: frozenset
+    unsure: frozenset
+
+
+def read_record(fields: tuple[str | None, ...]) -> Record:
+    words, names, unsure = Counter(), set(), set()
+    for field in fields:
+        text = unicodedata.normalize("NFC", field or "")
+        found = [(m.group(), m.start()) for m in WORD.finditer(text)]
+        lettered = [w for w, _ in found if w[0].isalpha()]
+        upper = sum(w[0].isupper() for w in lettered)
+        plain = len(lettered) > 2 and (upper > 0.6 * len(lettered) or not upper)
+        for w, at in found:
+            k = w.casefold()
+            words[k] += 1
+            if not w[0].isalpha() or len(w) < 2:
+                continue
+            if plain or (w[0].isupper() and STARTS.search(text[max(0, at - 6) : at])):
+                unsure.add(k)
+            elif w[0].isupper():
+                names.add(k)
+    return Record(words, frozenset(names), frozenset(unsure - names))
+
+
+def slip(a: str, b: str) -> bool:
+    """Whether a and b differ by a slip of spelling: one letter more, less, other or swapped with the next; two from eight letters on."""
+    if a == b:
+        return True
+    most = 0 if min(len(a), len(b)) < 3 else 1 if max(len(a), len(b)) < 8 else 2
+    if abs(len(a) - len(b)) > most:
+        return False
+    two, one = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            d = min(row[-1] + 1, one[j] + 1, one[j - 1] + (x != y))
+            if two and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                d = min(d, two[j - 2] + 1)
+            row.append(d)
+        if min(row) > most:
+            return False
+        two, one = one, row
+    return one[-1] <= most
+
+
+def say_the_same(a: Record, b: Record, ordinary: Callable[[str], bool], share: float = 0.7) -> bool:
+    """All names and numbers agree and so do `share` of the words of the longer record, up to slips of spelling."""
+    n = max(a.words.total(), b.words.total())
+    if not n or not min(a.words.total(), b.words.total()):
+        return False
+    both = a.words & b.words
+    left, right = list((a.words - both).elements()), list((b.words - both).elements())
+    if both.total() + min(len(left), len(right)) < share * n:
+        return False
+    for mine, own, other in ((left, a, b), (right, b, a)):
+        if any(w not in other.words and (w in own.names or any(c.isdigit() for c in w)) for w in mine):
+            return False
+    agreed = both.total()
+    for w in list(left):
+        if len(w) > 2 and (y := next((y for y in right if slip(w, y)), None)):
+            left.remove(w)
+            right.remove(y)
+            agreed += 1
+    strange = [any(w in r.unsure and w not in o.words and not ordinary(w) for w in rest) for rest, r, o in ((left, a, b), (right, b, a))]
+    return agreed >= share * n and not all(strange)
+
+
+class Index:
+    """The full-text index of one shard of records."""
+
+    def __init__(self, ids: np.ndarray, records: list[Record]):
+        self.ids, self.records = ids, records
+        df = Counter(w for r in records for w in r.words)
+        lower = Counter(w for r in records for w in r.words if w not in r.names and w not in r.unsure)
+        self.common = frozenset(w for w, c in lower.items() if c > 1 and 2 * c >= df[w])
+        self.symbol = {w: i for i, w in enumerate(sorted(df, key=lambda w: (df[w], w)), len(records))}
+        rows = [sorted(self.symbol[w] for w in r.words) for r in records]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        ends = np.cumsum(sizes + 1) - 1
+        text = np.empty(int(ends[-1]) + 1 if len(rows) else 0, np.int64)
+        doc = np.repeat(np.arange(len(rows)), sizes + 1)
+        for d, (row, end) in enumerate(zip(rows, ends)):
+            text[end - len(row) : end] = row
+            text[end] = d  # a record's own end sign keeps matches inside it
+        rank, k, n = text.copy(), 1, len(text)
+        longest = int(sizes.max(initial=0)) + 1
+        order = np.argsort(rank, kind="stable")
+        while True:
+            step = np.concatenate(([0], np.cumsum(rank[order][1:] != rank[order][:-1]))) if n else rank
+            rank = np.empty(n, np.int64)
+            rank[order] = step
+            if k >= longest:
+                break
+            after = np.zeros(n, np.int64)
+            after[:-k] = rank[k:] + 1
+            order = np.argsort(rank * (n + 1) + after, kind="stable")
+            rank = (rank * (n + 1) + after).astype(np.int64)
+            k *= 2
+        self.n, self.doc = n, doc[order].astype(np.int32)
+        before = text[order - 1] if n else text
+        self.pairs = np.sort(before * (n + 1) + np.arange(n))
+        self.tokens = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.empty(0, np.int64)
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+
+    def extend(self, symbols: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The boundary that follows from extending to the left by symbols: how many (symbol, row) pairs come before."""
+        return np.searchsorted(self.pairs, symbols * (self.n + 1) + rows)
+
+    def candidates(self, queries: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, record) that share a selective match. From each of a query's rarest words a match grows to the left
+        until at most SELECTIVE records hold it; a query in which none does gets its maximal matches from every word."""
+        sizes = np.fromiter(map(len, queries), np.int64, len(queries))
+        flat = np.concatenate([np.asarray(q, np.int64) for q in queries]) if queries else np.empty(0, np.int64)
+        starts = np.cumsum(sizes) - sizes
+        out, open_queries = [], np.arange(len(queries))
+        for most, selective in ((RAREST, SELECTIVE), (None, None)):
+            reach = sizes[open_queries] if most is None else np.minimum(sizes[open_queries], most)
+            q = np.repeat(open_queries, reach)
+            at = np.arange(len(q)) - np.repeat(np.cumsum(reach) - reach, reach) + starts[q]
+            lo, hi = self.extend(flat[at], np.zeros(len(q), np.int64)), self.extend(flat[at], np.full(len(q), self.n, np.int64))
+            kept: list[np.ndarray] = []
+            while len(q):
+                small = hi - lo <= selective if selective else np.zeros(len(q), bool)
+                more = ~small & (at > starts[q])
+                nlo, nhi = lo.copy(), hi.copy()
+                nlo[more], nhi[more] = self.extend(flat[at[more] - 1], lo[more]), self.extend(flat[at[more] - 1], hi[more])
+                grown = more & (nhi > nlo)
+                ended = small | (~grown if selective is None else np.zeros(len(q), bool))
+                kept.append(np.stack([q[ended], lo[ended], hi[ended]]))
+                q, at, lo, hi = q[grown], at[grown] - 1, nlo[grown], nhi[grown]
+            got = np.concatenate(kept, 1) if kept else np.empty((3, 0), np.int64)
+            got = got[:, got[2] > got[1]]
+            many = got[2] - got[1]
+            rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(got[1], many)
+            out.append(np.unique(np.repeat(got[0], many) * (len(self.records) + 1) + self.doc[rows]))
+            open_queries = np.setdiff1d(np.flatnonzero(sizes > 0), got[0]) if most else open_queries
+            if not len(open_queries):
+                break
+        pairs = np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
+        q, d = np.divmod(pairs, len(self.records) + 1)
+        # Counts of the words that the spans of a pair share, by a join of sorted (query, word) keys.
+        width = max(self.symbol.values(), default=0) + 1
+        have = np.repeat(np.arange(len(queries)), sizes) * width + flat
+        held = self.sizes[d]
+        rows = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held) + np.repeat(self.starts[d], held)
+        keys = np.repeat(q, held) * width + self.tokens[rows]
+        at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
+        shared = np.bincount(np.repeat(np.arange(len(q)), held), weights=have[at] == keys if len(have) else None, minlength=len(q))
+        near = shared >= 0.4 * np.minimum(self.sizes[d], np.maximum(sizes[q], 1))
+        return q[near], d[near]
+
+    def search(self, ids: np.ndarray, records: list[Record]) -> Iterator[tuple[int, int]]:
+        queries = [sorted(self.symbol[w] for w in r.words if w in self.symbol) for r in records]
+        for q, d in zip(*self.candidates(queries)):
+            if say_the_same(records[q], self.records[d], self.common.__contains__):
+                yield int(ids[q]), int(self.ids[d])
+
+
+def build(pdf: pd.DataFrame) -> pd.DataFrame:
+    index = Index(pdf["id"].to_numpy(np.int64), [read_record((q, a)) for q, a in zip(pdf["q"], pdf["a"])])
+    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "index": [pickle.dumps(index, protocol=5)]})
+
+
+def streamed(blob) -> Callable:
+    """A function for mapInPandas that searches a broadcast index for each training record."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = pickle.load(io.BytesIO(blob.value))
+        for pdf in batches:
+            for part in (pdf.iloc[i : i + 4000] for i in range(0, len(pdf), 4000)):
+                found = list(index.search(part["id"].to_numpy(np.int64), [read_record((q, a)) for q, a in zip(part["q"], part["a"])]))
+                if found:
+                    yield pd.DataFrame(found, columns=["id", "rep"])
+
+    return run
+
+
+def classes(df: DataFrame, cols: list[Column]) -> DataFrame:
+    """df with rep, the smallest id of the rows that are equal but for letter case, blanks and punctuation."""
+    key = F.sha2(F.concat_ws("\x02", *[F.concat(letters_digits(c), F.lit("\x03"), F.coalesce(c, F.lit(""))) for c in cols]), 256)
+    keyed = df.withColumn("_key", key)
+    return keyed.join(keyed.groupBy("_key", "source").agg(F.min("id").alias("rep")), ["_key", "source"]).drop("_key")
+
+
+def cross_split(items: DataFrame, shard_records: int = SHARD_RECORDS) -> DataFrame:
+    """(train_id, eval_id, split, source): each training record with each evaluation record of the same source that says the same.
+
+    A null q or a counts as empty, a record without words overlaps with nothing, and rows without a source, split or id are
+    left out. Equal evaluation records are searched once and expanded afterwards, so copies cost no search. Evaluation
+    records are the stated query set, indexed in shards of at most shard_records; only one shard's index is broadcast at a time.
+    """
+    spark = items.sparkSession
+    base = items.filter("split is not null and source is not null and item_id is not null").select(F.col("item_id").alias("id"), "split", "source", "q", "a")
+    held = cut(classes(base.filter("split <> 'train'"), [F.col("q"), F.col("a")]))
+    train = base.filter("split = 'train'")
+    reps = held.filter("id = rep").select("id", "source", "q", "a").dropDuplicates(["id"])
+    found = []
+    for r in reps.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source").collect():
+        shards = -(-r["n"] // shard_records)
+        own = reps.filter(F.col("source") == r["source"]).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+        built = cut(own.groupBy("shard").applyInPandas(build, "shard int, index binary"))
+        for s in range(shards):
+            for row in built.filter(F.col("shard") == s).toLocalIterator():
+                blob = spark.sparkContext.broadcast(bytes(row["index"]))
+                some = train.filter(F.col("source") == r["source"]).select("id", "q", "a")
+                found.append(some.mapInPandas(streamed(blob), "id bigint, rep bigint"))
+    if not found:
+        return spark.createDataFrame([], "train_id bigint, eval_id bigint, split string, source string")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.withColumnRenamed("id", "train_id").join(held.select("rep", F.col("id").alias("eval_id"), "split", "source"), "rep").select("train_id", "eval_id", "split", "source")
+
+
+def overlap_pairs(items: DataFrame) -> DataFrame:
+    """(id_a, id_b), smaller first, of cross_split."""
+    return cross_split(items).select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
+
+
+def overlap_report(items: DataFrame) -> DataFrame:
+    """By evaluation split and source: overlapping pairs, evaluation records leaked and training records concerned."""
+    return cross_split(items).groupBy("split", "source").agg(
+        F.count(F.lit(1)).alias("pairs"), F.countDistinct("eval_id").alias("leaked"), F.countDistinct("train_id").alias("train_records")
+    )
