@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,19 @@ def session(app: str = "factloom", cores: str = "*", **conf: str) -> SparkSessio
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, so that they need no installation of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_factloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    if root.parent.is_dir() and root.is_dir():
+        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="factloom-"), "factloom"), "zip", root.parent, root.name))
+    sc._factloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,9 +62,7 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def batch_rows(n: int) -> dict[str, str]:
-    return {"spark.sql.execution.arrow.maxRecordsPerBatch": str(n)}
-
-
-def env(name: str, default: str) -> str:
-    return os.environ.get(name, default)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df in at least three partitions a core, where a scan of few files would leave cores idle under costly functions."""
+    want = 3 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
