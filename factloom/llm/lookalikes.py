@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.plans.session import spread
+
 # Letters of Cyrillic and Greek that look like a Latin letter, each above its double.
 CYRILLIC = "аеорсухіјѕһԁԛԝҽАВЕКМНОРСТУХІЈЅԌҮ"
 CYRILLIC_AS = "aeopcyxijshdqweABEKMHOPCTYXIJSGY"
@@ -187,7 +189,7 @@ def consistent(df: DataFrame, id_col: str = "fact_id", cols: tuple[str, ...] = (
         high = high | F.coalesce(F.col(c).rlike(r"[^\x00-\x7F]"), F.lit(False))
     some = df.filter(high).select(F.col(id_col).alias("id"), *cols)
     schema = "id bigint, " + ", ".join(f"{c} string" for c in cols) + ", " + ", ".join(f"{c}_canonical string" for c in cols)
-    return some.mapInPandas(respelled(blob), schema)
+    return spread(some, "id").mapInPandas(respelled(blob), schema)
 
 
 def inconsistent_fields(df: DataFrame, id_col: str = "fact_id", cols: tuple[str, ...] = ("q", "a")) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import encoding, lookalikes
+from factloom.llm import encoding, lookalikes, pairs
 from factloom.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.broken_pairs(table(spark, d, "knowledge_real")).select(F.col("id").alias("fact_id"), "defect")
+
+
 @query("p3_found")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled(table(spark, d, "knowledge_real")).select(F.col("id").alias("fact_id"))
