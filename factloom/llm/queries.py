@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import encoding, lookalikes, pairs
+from factloom.llm import encoding, leaks, lookalikes, pairs, tokens
 from factloom.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,25 @@ def p5_texts(spark: SparkSession, d: str) -> DataFrame:
     facts = table(spark, d, "knowledge_real").select("fact_id", "q", "a")
     new = lookalikes.consistent(facts).select(F.col("id").alias("fact_id"), "q_canonical", "a_canonical")
     return facts.join(new, "fact_id", "left").select("fact_id", F.coalesce("q_canonical", "q").alias("q"), F.coalesce("a_canonical", "a").alias("a"))
+
+
+@query("p7_ids")
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+@query("p7_decoded", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    ids = tokens.encode(table(spark, d, "documents").select("doc_id", "text"))
+    return ids.select("doc_id", tokens.Vocabulary().text(F.col("ids")).alias("text"))
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.contained_passages(table(spark, d, "documents"), table(spark, d, "eval_passages")).select(F.col("id").alias("doc_id"), "passage_id")
+
+
+@query("p8_report")
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks.contained_passages(table(spark, d, "documents"), table(spark, d, "eval_passages"))
+    return table(spark, d, "eval_passages").select("passage_id", "suite").join(found, "passage_id").groupBy("suite", "passage_id").agg(F.count(F.lit(1)).alias("documents"))
