@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import encoding, leaks, lookalikes, pairs, tokens
+from factloom.llm import encoding, leaks, lookalikes, pairs, subjects, tokens
 from factloom.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     found = leaks.contained_passages(table(spark, d, "documents"), table(spark, d, "eval_passages"))
     return table(spark, d, "eval_passages").select("passage_id", "suite").join(found, "passage_id").groupBy("suite", "passage_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+    return found.select(F.col("id").alias("doc_id"), "subject")
+
+
+@query("p9_composition")
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    found = subjects.document_subjects(docs, table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+    return docs.select("doc_id", "source", "n_chars").join(found.withColumnRenamed("id", "doc_id"), "doc_id").groupBy("source", "subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
