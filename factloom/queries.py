@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.operators import collapse, overlap, packing
 from factloom.plans.session import table
+from factloom.registry import ORACLES, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
+from factloom.catalog import aggregates, dedup, evaluation, joins, nested, retrieval, text, tokenizing, windows  # noqa: E402, F401, I001
 
-    return add
+__all__ = ["ORACLES", "QUERIES"]
 
 
 @query("p2_found")
