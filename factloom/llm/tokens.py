@@ -7,15 +7,15 @@ everywhere, from the left, is one replace. The rank map is a literal: a perfect
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the public tokenizer's division of text, with Unicode's white space.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
-FIRST, SLOTS, BUCKETS = 0x10000, 1 << 16, 1 << 14
+PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z\p{L}]++| ?\p{N}++| ?[^\p{IsWhite_Space}\p{L}\p{N}]++|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}++"
+FIRST, SLOTS, BUCKETS, WHOLE = 0x10000, 1 << 16, 1 << 14, 1 << 18
 
 
 def default_path() -> str:
@@ -44,38 +44,57 @@ def mix(x: int) -> int:
     return h ^ (h >> 32)
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def place(h: int, shift: int) -> int:
-    return ((h >> 17 & (SLOTS - 1)) + shift * ((h >> 40 & 0xFFFF) * 2 + 1)) & (SLOTS - 1)
-
-
-def perfect(keys: Sequence[int]) -> tuple[list[int], list[int], list[int]]:
-    """(shift by bucket, key by slot, its number by slot): a perfect hash of distinct keys, empty slots with key -1."""
-    buckets: dict[int, list[tuple[int, int]]] = {}
-    for i, k in enumerate(keys):
-        h = mix(k)
-        buckets.setdefault(h & (BUCKETS - 1), []).append((h, i))
-    shifts, slot_key, slot_no = [0] * BUCKETS, [-1] * SLOTS, [0] * SLOTS
-    for b, members in sorted(buckets.items(), key=lambda kv: -len(kv[1])):
-        shift = 0
-        while True:
-            spots = [place(h, shift) for h, _ in members]
-            if len(set(spots)) == len(spots) and all(slot_key[s] == -1 for s in spots):
+def murmur(data: bytes) -> int:
+    """Spark's hash of one string, as unsigned."""
+    m = 0xFFFFFFFF
+    rotate = lambda v, r: ((v << r) | (v >> (32 - r))) & m
+
+    def stir(h: int, k: int) -> int:
+        h ^= rotate(k * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+        return (rotate(h, 13) * 5 + 0xE6546B64) & m
+
+    h, whole = 42, len(data) & ~3
+    for i in range(0, whole, 4):
+        h = stir(h, int.from_bytes(data[i : i + 4], "little"))
+    for b in data[whole:]:
+        h = stir(h, (b - 256 if b > 127 else b) & m)
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    return h ^ h >> 16
+
+
+def perfect(keys: Sequence[int]) -> tuple[int, list[int], list[int]]:
+    """(cut, shift by bucket, entry by slot): a perfect hash of distinct keys. An entry is key << 16 | number, -1 where empty."""
+    for cut in range(17, 40):
+        buckets: dict[int, list[tuple[int, int]]] = {}
+        for i, k in enumerate(keys):
+            h = mix(k)
+            buckets.setdefault(h & (BUCKETS - 1), []).append((h >> cut & (SLOTS - 1), k << 16 | i))
+        if any(len({h for h, _ in m}) < len(m) for m in buckets.values()):
+            continue
+        shifts, entries = [0] * BUCKETS, [-1] * SLOTS
+        for b, members in sorted(buckets.items(), key=lambda kv: -len(kv[1])):
+            shift = next((x for x in range(SLOTS) if all(entries[h ^ x] == -1 for h, _ in members)), None)
+            if shift is None:
                 break
-            shift += 1
-        shifts[b] = shift
-        for s, (_, i) in zip(spots, members):
-            slot_key[s], slot_no[s] = keys[i], i
-    return shifts, slot_key, slot_no
+            shifts[b] = shift
+            for h, entry in members:
+                entries[h ^ shift] = entry
+        else:
+            return cut, shifts, entries
+    raise ValueError("no perfect hash found")
 
 
 def longs(values: Sequence[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 class Vocabulary:
     """The public tokenizer as literals. path: its file, by default that of the installed package."""
 
@@ -89,8 +108,9 @@ class Vocabulary:
             self.pieces[i] = bytes(names[c] for c in text) if all(c in names for c in text) else text.encode()
         self.pairs = [(ids[a], ids[b]) for a, b in pairs]
         self.merged = [ids[a + b] for a, b in pairs]
-        shifts, keys, numbers = perfect([a << 16 | b for a, b in self.pairs])
-        self.shifts, self.keys, self.numbers = longs(shifts), longs(keys), longs(numbers)
+        self.cut, shifts, entries = perfect([a << 16 | b for a, b in self.pairs])
+        self.shifts, self.entries = longs(shifts), longs(entries)
+        made = {*self.merged, *(i for i, p in enumerate(self.pieces) if len(p) == 1)}
         sign = lambda i: chr(FIRST + i)
         self.pair_signs = F.split(F.lit(",".join(sign(a) + sign(b) for a, b in self.pairs)), ",")
         self.merged_signs = F.split(F.lit(",".join(map(sign, self.merged))), ",")
@@ -98,6 +118,18 @@ class Vocabulary:
         self.latin = "".join(map(chr, range(1, 256)))
         self.signs = "".join(sign(single[b]) for b in range(1, 256))
         self.zero = sign(single[0])
+        # Words that are one piece by Spark's hash; where two meet in a slot the later one takes the long way like any other word.
+        slots, spelled = [-1] * WHOLE, [""] * len(self.pieces)
+        for i, piece in enumerate(self.pieces):
+            try:
+                word = piece.decode()
+            except UnicodeDecodeError:
+                continue
+            at = murmur(piece) & (WHOLE - 1)
+            if i in made and word and "\x01" not in word and slots[at] < 0:
+                slots[at], spelled[i] = i, word
+        self.slots = F.split(F.lit(",".join(map(str, slots))), ",").cast("array<int>")
+        self.spelled = F.split(F.lit("\x01".join(spelled)), "\x01")
         self.hex = F.split(F.lit(",".join(p.hex() for p in self.pieces)), ",")
 
     def rank(self, left: Column, right: Column) -> Column:
@@ -105,12 +137,15 @@ class Vocabulary:
         key = F.shiftleft(left, 16).bitwiseOR(right)
 
         def look(h: Column) -> Column:
-            shift = F.get(self.shifts, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-            step = F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(0xFFFF)) * 2 + 1
-            slot = (F.shiftrightunsigned(h, 17).bitwiseAND(F.lit(SLOTS - 1)) + shift * step).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-            return F.get(F.transform(F.array(slot), lambda s: F.when(F.get(self.keys, s) == key, F.get(self.numbers, s))), 0)
+            at = F.shiftrightunsigned(h, self.cut).bitwiseXOR(F.get(self.shifts, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))).bitwiseAND(F.lit(SLOTS - 1))
+            return F.get(self.entries, at.cast("int"))
+
+        return let(let(F.xxhash64(key), look), lambda e: F.when(F.shiftright(e, 16) == key, e.bitwiseAND(F.lit(0xFFFF))))
 
-        return F.get(F.transform(F.array(F.xxhash64(key)), look), 0)
+    def whole(self, word: Column) -> Column:
+        """The id of a word that is one piece, null for any other word."""
+        at = F.get(self.slots, F.hash(word).bitwiseAND(F.lit(WHOLE - 1)))
+        return F.when(F.get(self.spelled, at) == word, at)
 
     def encode_word(self, word: Column) -> Column:
         """array<int>: the ids of one word."""
@@ -144,13 +179,18 @@ class Vocabulary:
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """df with out, array<int>: the ids of text without special tokens; null and empty texts give an empty list.
 
-    Each distinct word is encoded once, in all of df. Words come back by the text's hash: two texts with one hash only share
-    a larger dictionary, so the result stays exact. Columns of df keep their names; one called out is replaced.
+    A word that is one piece is looked up in place. Each other distinct word is encoded once, in all of df, and comes back by
+    the text's hash: two texts with one hash only share a larger dictionary, so the result stays exact. Columns of df keep
+    their names; one called out is replaced.
     """
     vocab = Vocabulary(path)
-    rows = df.withColumn("_words", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), 0)).withColumn("_key", F.xxhash64(text))
-    some = rows.select("_key", F.explode(F.array_distinct("_words")).alias("w")).filter("w <> ''")
+    df.sparkSession.conf.set("spark.sql.maxPlanStringLength", "100000")  # the literal tables would fill descriptions of plans
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), 0)
+    hard = F.filter(F.array_distinct(words), lambda w: vocab.whole(w).isNull())
+    some = df.select(F.xxhash64(text).alias("_key"), F.explode(hard).alias("w"))
     known = some.select("w").distinct().select("w", vocab.encode_word(F.col("w")).alias("i"))
     by_text = some.join(known, "w").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("w", "i"))).alias("_ids"))
-    ids = F.when(F.col("_ids").isNull(), F.array().cast("array<int>")).otherwise(F.flatten(F.transform(F.filter("_words", lambda w: w != ""), lambda w: F.col("_ids")[w])))
-    return rows.join(by_text, "_key", "left").withColumn(out, ids).drop("_words", "_key", "_ids")
+    rows = df.withColumn("_key", F.xxhash64(text)).join(by_text, "_key", "left")
+    at = lambda w: F.get(vocab.slots, F.hash(w).bitwiseAND(F.lit(WHOLE - 1)))
+    ids = F.flatten(F.transform(words, lambda w: F.when(F.get(vocab.spelled, at(w)) == w, F.array(at(w))).otherwise(F.col("_ids")[w])))
+    return rows.withColumn(out, F.coalesce(ids, F.array().cast("array<int>"))).drop("_key", "_ids")
