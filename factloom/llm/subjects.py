@@ -8,6 +8,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 from itertools import combinations
 
 import pandas as pd
@@ -19,11 +20,11 @@ from factloom.plans.session import cut, spread
 
 #: Labelled documents that are learned from, by hash of their id; words that may stand in rules; sentences that a subject needs.
 LABELLED, WORDS, SENTENCES = 20_000, 20_000, 3
-#: Least sentences behind a rule, most words in one, and how much a longer rule must gain over a shorter one.
-SUPPORT, LENGTH, GAIN = 3, 2, 0.05
+#: Least sentences behind a rule, and their least share, most words in one, and how much a longer rule must gain over a shorter one.
+SUPPORT, SHARE, LENGTH, GAIN = 3, 5e-5, 2, 0.05
 SPLIT = re.compile(r"(?<=[.!?。])[\"”'’)]*\s+|\n+")
 WORD = re.compile(r"[^\W\d_]{2,}")
-ROLE = re.compile(r"^\s*(?:User|Assistant|System|Passage|Question|Answer|Q|A|Statement)\s*:\s*")
+ROLE = re.compile(r"^\s*(?:user|assistant|system|passage|question|answer|q|a|statement)\s*:\s*")
 
 
 def sentences(text: str | None) -> list[frozenset[str]]:
@@ -33,10 +34,11 @@ def sentences(text: str | None) -> list[frozenset[str]]:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     out = []
-    for s in SPLIT.split(text):
-        s = ROLE.sub("", s or "")
-        words = WORD.findall(s.lower())
-        if len(words) >= 4 and not s.startswith("("):
+    for s in SPLIT.split(text.lower()):
+        if not s or s[0] == "(":
+            continue
+        words = WORD.findall(ROLE.sub("", s) if ":" in s[:16] else s)
+        if len(words) >= 4:
             out.append(frozenset(words))
     return out
 
@@ -61,20 +63,31 @@ class Rules:
     by_word: dict[str, list[tuple[frozenset[str], str, float]]]
     threshold: float = 2.0
 
+    def __post_init__(self):
+        self.known = frozenset(self.by_word)
+
     def evidence(self, words: frozenset[str]) -> dict[str, float]:
         """By subject, the three strongest rules that match."""
-        hits: dict[str, list[float]] = defaultdict(list)
-        for w in words:
-            for rest, subject, weight in self.by_word.get(w, ()):
+        hits: dict[str, list[float]] = {}
+        for w in words & self.known:
+            for rest, subject, weight in self.by_word[w]:
                 if rest <= words:
-                    hits[subject].append(weight)
-        return {s: sum(sorted(ws, reverse=True)[:3]) for s, ws in hits.items()}
+                    hits.setdefault(subject, []).append(weight)
+        return {s: sum(ws) if len(ws) < 4 else sum(nlargest(3, ws)) for s, ws in hits.items()}
+
+    def best(self, words: frozenset[str]) -> tuple[str | None, float]:
+        """The subject of most evidence, none if two have as much."""
+        top, subject = -math.inf, None
+        for s, e in self.evidence(words).items():
+            if e > top:
+                top, subject = e, s
+            elif e == top:
+                subject = None
+        return subject, top
 
     def subject(self, words: frozenset[str], threshold: float | None = None) -> str | None:
-        best = sorted(((e, s) for s, e in self.evidence(words).items()), reverse=True)[:2]
-        if not best or best[0][0] < (self.threshold if threshold is None else threshold):
-            return None
-        return best[0][1] if len(best) < 2 or best[0][0] > best[1][0] else None
+        subject, e = self.best(words)
+        return subject if e >= (self.threshold if threshold is None else threshold) else None
 
     def subjects(self, text: str | None, threshold: float | None = None) -> list[str]:
         counts = Counter(self.subject(s, threshold) for s in sentences(text))
@@ -99,7 +112,7 @@ def mine(learned: DataFrame) -> Rules:
     n = items.count()
     if not n:
         return Rules({})
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (SUPPORT - 0.5) / n), minConfidence=0.9).fit(items).freqItemsets
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(SUPPORT - 0.5, SHARE * n) / n), minConfidence=0.9).fit(items).freqItemsets
     few = sets.filter(F.size(F.filter("items", lambda x: ~x.startswith("="))).between(1, LENGTH))
     support = {frozenset(r["items"]): r["freq"] for r in few.collect()}
     scored: dict[tuple[frozenset[str], str], tuple[float, int]] = {}
@@ -124,33 +137,37 @@ def fit(docs: DataFrame, subject_labels: DataFrame, subjects: DataFrame, most: i
     """Rules from at most `most` labelled documents; the threshold is the one under which their labels are met best (F1)."""
     own = labels(subject_labels, subjects).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("own"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    some = docs.select("doc_id", F.col("text").alias("t")).join(chosen, "doc_id").select(F.col("doc_id").alias("id"), "t", "own")
-    learned = cut(spread(some, "id").mapInPandas(transactions, "id bigint, n int, words array<string>, own array<string>"))
+    some = cut(spread(docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").alias("id"), "t", "own"), "id"))
+    learned = cut(some.mapInPandas(transactions, "id bigint, n int, words array<string>, own array<string>"))
     rules = mine(learned)
     blob = docs.sparkSession.sparkContext.broadcast(rules)
-    rows = learned.filter(F.size("own") > 0).mapInPandas(evidences(blob), "id bigint, own array<string>, subject string, e double").toPandas()
-    best = (-1.0, rules.threshold)
-    for threshold in [x / 4 for x in range(2, 49)]:
-        hit = rows[rows["e"] >= threshold].groupby(["id", "subject"]).size()
-        found = set(hit[hit >= SENTENCES].index)
-        true = {(i, s) for i, o in zip(rows["id"], rows["own"]) for s in o}
-        f1 = 2 * len(found & true) / max(1, len(found) + len(true))
-        if f1 > best[0] + 1e-9:
-            best = (f1, threshold)
-    rules.threshold = best[1]
+    counts = some.mapInPandas(agreement(blob), "step int, hit bigint, found bigint, wanted bigint").groupBy("step").agg(F.sum("hit").alias("hit"), F.sum("found").alias("found"), F.sum("wanted").alias("wanted"))
+    rows = sorted(counts.collect(), key=lambda r: (-2 * r["hit"] / max(1, r["found"] + r["wanted"]), r["step"]))
+    if rows:
+        rules.threshold = rows[0]["step"] / 4
     return rules
 
 
-def evidences(blob) -> Callable:
+def agreement(blob) -> Callable:
+    """For thresholds in quarters: subjects found that are labelled, found at all, and labelled."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rules = blob.value
+        rules, total = blob.value, {step: [0, 0, 0] for step in range(2, 49)}
         for pdf in batches:
-            rows = []
-            for i, own, words in zip(pdf["id"], pdf["own"], pdf["words"]):
-                ws = frozenset(words)
-                s = rules.subject(ws, -math.inf)
-                rows.append((i, list(own), s, rules.evidence(ws)[s] if s else None))
-            yield pd.DataFrame(rows, columns=["id", "own", "subject", "e"])
+            for text, own in zip(pdf["t"], pdf["own"]):
+                seen: dict[str, list[float]] = defaultdict(list)
+                for words in sentences(text):
+                    s, e = rules.best(words)
+                    if s:
+                        seen[s].append(e)
+                # A subject is found as long as its third-strongest sentence stays above the threshold.
+                third = {s: sorted(e, reverse=True)[SENTENCES - 1] for s, e in seen.items() if len(e) >= SENTENCES}
+                for step, t in total.items():
+                    found = {s for s, e in third.items() if e >= step / 4}
+                    t[0] += len(found & set(own))
+                    t[1] += len(found)
+                    t[2] += len(own)
+        yield pd.DataFrame([(step, *t) for step, t in total.items()], columns=["step", "hit", "found", "wanted"])
 
     return run
 
