@@ -35,14 +35,14 @@ def dedup_exact_text(spark: SparkSession, d: str) -> DataFrame:
     return k.agg(F.min("fact_id").alias("fact_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@query("dedup_dialogue", "WITH f AS (SELECT conv_id, arg_min(lower(trim(coalesce(text, ''))), (turn, sent_at)) AS k FROM dialogues GROUP BY conv_id), h AS (SELECT DISTINCT k FROM f WHERE conv_id % 10 = 0), s AS (SELECT conv_id, CASE WHEN conv_id % 10 = 0 THEN 'held' WHEN k IN (SELECT k FROM h) THEN 'overlap' WHEN row_number() OVER (PARTITION BY k, conv_id % 10 = 0 ORDER BY conv_id) > 1 THEN 'dup' ELSE 'kept' END AS status FROM f) SELECT status, count(*) AS n FROM s GROUP BY status")
+@query("dedup_dialogue", "WITH f AS (SELECT conv_id, arg_min(lower(trim(coalesce(text, ''))), (turn, sent_at)) AS k FROM dialogues GROUP BY conv_id), h AS (SELECT DISTINCT k FROM f WHERE conv_id % 10 = 1), s AS (SELECT conv_id, CASE WHEN conv_id % 10 = 1 THEN 'held' WHEN k IN (SELECT k FROM h) THEN 'overlap' WHEN row_number() OVER (PARTITION BY k, conv_id % 10 = 1 ORDER BY conv_id) > 1 THEN 'dup' ELSE 'kept' END AS status FROM f) SELECT status, count(*) AS n FROM s GROUP BY status")
 def dedup_dialogue(spark: SparkSession, d: str) -> DataFrame:
     """By first turn: overlap with the held-out tenth counts before duplicates."""
     f = table(spark, d, "dialogues").groupBy("conv_id").agg(F.min_by(F.md5(F.lower(F.trim(T.text(F.col("text"))))), F.struct("turn", "sent_at")).alias("k"))
-    held = f.filter("conv_id % 10 = 0").select("k").distinct().withColumn("h", F.lit(True))
-    first = f.filter("conv_id % 10 <> 0").groupBy("k").agg(F.min("conv_id").alias("first"))
+    held = f.filter("conv_id % 10 = 1").select("k").distinct().withColumn("h", F.lit(True))
+    first = f.filter("conv_id % 10 <> 1").groupBy("k").agg(F.min("conv_id").alias("first"))
     s = f.join(held, "k", "left").join(first, "k", "left")
-    status = F.when(F.col("conv_id") % 10 == 0, "held").when(F.col("h"), "overlap").when(F.col("conv_id") != F.col("first"), "dup").otherwise("kept")
+    status = F.when(F.col("conv_id") % 10 == 1, "held").when(F.col("h"), "overlap").when(F.col("conv_id") != F.col("first"), "dup").otherwise("kept")
     return s.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -39,11 +39,11 @@ def join_anti_heldout(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id").join(keyed(docs, "doc_id", "text").join(held, "k", "left_semi"), "doc_id", "left_anti")
 
 
-@query("join_semi_trained", f"WITH {ONCE}, r AS (SELECT conv_id, md5(lower(trim(coalesce(text, '')))) AS k FROM d WHERE role = 'assistant') SELECT DISTINCT conv_id FROM r WHERE conv_id % 10 = 0 AND conv_id NOT IN (SELECT a.conv_id FROM r a JOIN r b ON a.k = b.k WHERE a.conv_id % 10 = 0 AND b.conv_id % 10 <> 0)")
+@query("join_semi_trained", f"WITH {ONCE}, r AS (SELECT conv_id, md5(lower(trim(coalesce(text, '')))) AS k FROM d WHERE role = 'assistant') SELECT DISTINCT conv_id FROM r WHERE conv_id % 10 = 1 AND conv_id NOT IN (SELECT a.conv_id FROM r a JOIN r b ON a.k = b.k WHERE a.conv_id % 10 = 1 AND b.conv_id % 10 <> 1)")
 def join_semi_trained(spark: SparkSession, d: str) -> DataFrame:
     """Held-out conversations (a tenth, by id) none of whose replies was trained on."""
     r = turns(spark, d).filter("role = 'assistant'").select("conv_id", F.md5(F.lower(F.trim(T.text(F.col("text"))))).alias("k"))
-    held, trained = r.filter("conv_id % 10 = 0"), r.filter("conv_id % 10 <> 0").select("k").distinct()
+    held, trained = r.filter("conv_id % 10 = 1"), r.filter("conv_id % 10 <> 1").select("k").distinct()
     return held.select("conv_id").distinct().join(held.join(trained, "k", "left_semi"), "conv_id", "left_anti")
 
 
@@ -66,14 +66,13 @@ def join_id_dedup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "items").filter("conv_id is not null").join(known, "conv_id", "left_anti").groupBy("conv_id").agg(F.count(F.lit(1)).alias("items"))
 
 
-_KEYED = "k AS (SELECT {0}, {1} AS k FROM {2})"
-
-
-@query("join_exact_key", "WITH f AS (SELECT lower(trim(key)) AS k, min(fact_id) AS fact_id, count(*) AS copies FROM knowledge_real WHERE key IS NOT NULL GROUP BY 1) SELECT i.item_id, f.fact_id, f.copies FROM items i JOIN f ON lower(trim(i.q)) = f.k")
+@query("join_exact_key", "WITH f AS (SELECT lower(trim(key)) AS k, min(fact_id) AS first, count(*) AS copies FROM knowledge_real WHERE key IS NOT NULL GROUP BY 1) SELECT i.fact_id, f.first, f.copies FROM knowledge_real i JOIN f ON lower(trim(i.q)) = f.k")
 def join_exact_key(spark: SparkSession, d: str) -> DataFrame:
-    """Items whose question is a fact's key; the first stored fact of a key wins."""
-    f = table(spark, d, "knowledge_real").filter("key is not null").groupBy(F.lower(F.trim("key")).alias("k")).agg(F.min("fact_id").alias("fact_id"), F.count(F.lit(1)).alias("copies"))
-    return table(spark, d, "items").select("item_id", F.lower(F.trim("q")).alias("k")).join(f, "k").select("item_id", "fact_id", "copies")
+    """Questions that are a fact's key; the first stored fact of a key wins. Keys are unique on one side, so a hot question
+    is split by adaptive execution without multiplying rows."""
+    k = table(spark, d, "knowledge_real")
+    f = k.filter("key is not null").groupBy(F.lower(F.trim("key")).alias("k")).agg(F.min("fact_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    return k.select("fact_id", F.lower(F.trim("q")).alias("k")).join(f, "k").select("fact_id", "first", "copies")
 
 
 @query("join_index_lookup", """WITH s AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(q,'')), '[a-z]{5,}'))) AS w FROM items WHERE split = 'dev'),

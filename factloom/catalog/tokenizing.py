@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators import encoder
 from factloom.plans.session import table
 from factloom.registry import query
 
@@ -109,3 +110,51 @@ def audit_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = w.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), c(F.col("codes").isNull() | (F.size("codes") == 0)).alias("empty"), c(F.col("prompt_len").isNull()).alias("no_prompt"), c(F.col("prompt_len") > F.size("codes")).alias("beyond"), c(F.size("gold") > 0).alias("with_gold"))
     texts = w.filter("codes is not null").select("kind", F.sha2(F.array_join(F.transform("codes", lambda x: x.cast("string")), ","), 256).alias("h")).distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("texts"))
     return rows.join(texts, "kind", "left").select("kind", "n", "empty", "no_prompt", "beyond", "with_gold", (F.col("n") - F.coalesce("texts", F.lit(0))).alias("copies"))
+
+
+@query("fit_pieces")
+def fit_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary of 8,192 ids fitted on all documents."""
+    entries = encoder.fit(table(spark, d, "documents"), "text").entries
+    return spark.createDataFrame([(encoder.FIRST + i, k, b) for i, (k, b) in enumerate(entries)], "entry_id int, kind string, piece binary")
+
+
+@query("encode")
+def encode(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return encoder.encode(docs, encoder.fit(docs, "text"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query("decode", "SELECT doc_id AS id, coalesce(text, '') AS text FROM documents")
+def decode(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    dictionary = encoder.fit(docs, "text")
+    return encoder.decode(encoder.encode(docs, dictionary, "doc_id", "text"), dictionary)
+
+
+@query("encode_hash", "SELECT u, (('0x' || substring(md5(u), 1, 7))::BIGINT % 512) * 1024 + ('0x' || substring(md5(u), 9, 7))::BIGINT % 1024 AS code, n FROM (SELECT u, count(*) AS n FROM (SELECT unnest(regexp_extract_all(q, '[A-Za-z]+')) AS u FROM items) GROUP BY u)")
+def encode_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Words with a code of two hashed parts."""
+    u = table(spark, d, "items").select(F.explode(F.regexp_extract_all("q", F.lit("[A-Za-z]+"), 0)).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    part = lambda at, m: F.conv(F.substring(F.md5("u"), at, 7), 16, 10).cast("bigint") % m
+    return u.select("u", (part(1, 512) * 1024 + part(9, 1024)).alias("code"), "n")
+
+
+_PHRASES = "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM w WHERE len(w) > 1)"
+
+
+@query("agg_phrase_cand", _PHRASES.replace("lower(text)", "lower(replace(text, 'İ', 'i̇'))") + " SELECT phrase, count(*) AS n FROM g GROUP BY phrase HAVING count(*) >= 20")
+def agg_phrase_cand(spark: SparkSession, d: str) -> DataFrame:
+    """Two-word phrases met twenty times or more."""
+    w = table(spark, d, "documents").filter("text is not null").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w")).filter(F.size("w") > 1)
+    grams = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
+    return w.select(F.explode(grams).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
+
+
+@query("agg_fidelity", "WITH u AS (SELECT w, count(*) AS n, ('0x' || substring(md5(w), 1, 3))::BIGINT AS code FROM (SELECT unnest(list_transform(regexp_extract_all(a, '[A-Za-z]+'), lambda x: lower(x))) AS w FROM knowledge_real) GROUP BY w), k AS (SELECT code, arg_max(w, (n, w)) AS kept FROM u GROUP BY code) SELECT round(sum(CASE WHEN w = kept THEN n * length(w) ELSE 0 END) / sum(n * length(w)), 9) AS exact, round(sum(CASE WHEN w <> kept THEN n * length(w) ELSE 0 END) / sum(n * length(w)), 9) AS collided FROM u JOIN k USING (code)")
+def agg_fidelity(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of letters in words that keep their code of twelve bits, and in those that lose it."""
+    u = table(spark, d, "knowledge_real").select(F.explode(T.words(F.col("a"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("code", F.conv(F.substring(F.md5("w"), 1, 3), 16, 10).cast("bigint"))
+    j = u.join(u.groupBy("code").agg(F.max_by("w", F.struct("n", "w")).alias("kept")), "code").withColumn("m", F.col("n") * F.length("w"))
+    share = lambda c: F.round(F.sum(F.when(c, F.col("m")).otherwise(0)) / F.sum("m"), 9)
+    return j.agg(share(F.col("w") == F.col("kept")).alias("exact"), share(F.col("w") != F.col("kept")).alias("collided"))

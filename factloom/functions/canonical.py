@@ -28,7 +28,10 @@ def with_nfc(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def letters_digits(c: Column) -> Column:
     """Letters, digits and their marks only, letter case folded; null counts as empty."""
     kept = F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}\p{M}]", "")
-    return F.translate(F.lower(F.upper(kept)), "ς", "σ")
+    out = F.translate(F.lower(F.upper(kept)), "ς", "σ")
+    for a, b in (("ß", "ss"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl")):  # as capitals would have them
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
 
 
 def field_set(c: Column) -> Column:

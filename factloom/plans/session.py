@@ -63,6 +63,6 @@ def partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df in at least three partitions a core, where a scan of few files would leave cores idle under costly functions."""
-    want = 3 * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
+    """df in three partitions a core, where a scan of few files would leave cores idle under costly functions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(3 * cores, *keys)
