@@ -168,14 +168,14 @@ def agg_collisions(spark: SparkSession, d: str) -> DataFrame:
 @query("agg_auc", """WITH s AS (SELECT n_chars AS x, kind = 'article' AS pos FROM documents WHERE n_chars IS NOT NULL),
 c AS (SELECT x, count(*) FILTER (WHERE pos) AS p, count(*) FILTER (WHERE NOT pos) AS q FROM s GROUP BY x),
 r AS (SELECT p, q, coalesce(sum(q) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
-SELECT round(sum(p * (below + q / 2)) / (sum(p) * sum(q)), 9) AS auc FROM r""")
+SELECT round(sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0), 9) AS auc FROM r""")
 def agg_auc(spark: SparkSession, d: str) -> DataFrame:
     """Rank AUC of text length for articles: counts by value first, so the running sum passes distinct values only."""
     s = table(spark, d, "documents").filter("n_chars is not null")
     c = s.groupBy(F.col("n_chars").alias("x")).agg(F.count_if(F.col("kind") == "article").alias("p"), F.count_if(F.col("kind") != "article").alias("q"))
     below = F.coalesce(F.sum("q").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     r = c.withColumn("below", below)
-    return r.agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q")), 9).alias("auc"))
+    return r.agg(F.round(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p") * F.sum("q")), 9).alias("auc"))
 
 
 @query("agg_confusion", """WITH s AS (SELECT least(n_chars / 5000, 1) AS x, kind = 'article' AS pos FROM documents WHERE n_chars IS NOT NULL), t AS (SELECT unnest(range(1, 20)) * 5 AS pct)

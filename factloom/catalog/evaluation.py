@@ -91,9 +91,9 @@ def recall_by_distance(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "items").groupBy("source", F.least("turn", F.lit(20)).alias("distance")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("a") > 30).alias("recalled"))
 
 
-@query("history_gain", "SELECT kind, round(1 - avg(loo) FILTER (WHERE prompt_len > 0) / avg(loo), 6) AS gain FROM windows WHERE loo IS NOT NULL GROUP BY kind")
+@query("history_gain", "SELECT kind, round(1 - avg(loo) FILTER (WHERE prompt_len > 0) / nullif(avg(loo), 0), 6) AS gain FROM windows WHERE loo IS NOT NULL GROUP BY kind")
 def history_gain(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "windows").filter("loo is not null").groupBy("kind").agg(F.round(1 - F.avg(F.when(F.col("prompt_len") > 0, F.col("loo"))) / F.avg("loo"), 6).alias("gain"))
+    return table(spark, d, "windows").filter("loo is not null").groupBy("kind").agg(F.round(1 - F.try_divide(F.avg(F.when(F.col("prompt_len") > 0, F.col("loo"))), F.avg("loo")), 6).alias("gain"))
 
 
 @query("tool_arith", r"""SELECT doc_id, regexp_extract(text, '([0-9]+) (?:[a-z]+ )?(?:meters|hours|days)', 1) AS x, CASE WHEN regexp_matches(text, '[0-9]+ (?:[a-z]+ )?(?:meters|hours|days)') THEN try_cast(regexp_extract(text, '([0-9]+) (?:[a-z]+ )?(?:meters|hours|days)', 1) AS BIGINT) * 2 END AS twice FROM documents WHERE text IS NOT NULL""")

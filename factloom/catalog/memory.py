@@ -148,17 +148,17 @@ def decide(spark: SparkSession, d: str) -> DataFrame:
     return facts(spark, d).withColumn("n", F.row_number().over(w)).select("fact_id", (F.col("n") > 1).alias("superseded"))
 
 
-@query("hybrid_weighted", _SQL + " SELECT item_id, fact_id, round(shared / qsum + 0.5 * shared / (qsum + fsum - shared), 6) AS score FROM s JOIN qs USING (item_id) JOIN fs USING (fact_id)")
+@query("hybrid_weighted", _SQL + " SELECT item_id, fact_id, round(shared / nullif(qsum, 0) + 0.5 * shared / nullif(qsum + fsum - shared, 0), 6) AS score FROM s JOIN qs USING (item_id) JOIN fs USING (fact_id)")
 def hybrid_weighted(spark: SparkSession, d: str) -> DataFrame:
     """Coverage plus half the union score."""
     s = F.col("shared")
-    return scored(spark, d).select("item_id", "fact_id", F.round(s / F.col("qsum") + 0.5 * s / (F.col("qsum") + F.col("fsum") - s), 6).alias("score"))
+    return scored(spark, d).select("item_id", "fact_id", F.round(F.try_divide(s, F.col("qsum")) + F.try_divide(0.5 * s, F.col("qsum") + F.col("fsum") - s), 6).alias("score"))
 
 
-@query("std_weight_sweep", _SQL + ", c AS (SELECT shared / qsum AS x FROM s JOIN qs USING (item_id)) SELECT round(stddev_pop(x), 6) AS sd, round(avg(x), 6) AS mean, count(*) AS n FROM c")
+@query("std_weight_sweep", _SQL + ", c AS (SELECT shared / nullif(qsum, 0) AS x FROM s JOIN qs USING (item_id)) SELECT round(stddev_pop(x), 6) AS sd, round(avg(x), 6) AS mean, count(*) AS n FROM c")
 def std_weight_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Mean and deviation of literal scores, by which both score kinds are brought to one scale."""
-    x = F.col("shared") / F.col("qsum")
+    x = F.try_divide("shared", "qsum")
     return scored(spark, d).agg(F.round(F.stddev_pop(x), 6).alias("sd"), F.round(F.avg(x), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
@@ -171,10 +171,10 @@ def strict_exact(spark: SparkSession, d: str) -> DataFrame:
     return t.select("fact_id", norm("q").alias("k")).join(k, "k").groupBy("fact_id").agg(F.min("first").alias("first"))
 
 
-@query("recent_expand", _SQL.replace("WITH f AS", "WITH f AS") + " SELECT item_id, max(round(0.6 * shared / qsum, 6)) AS score FROM s JOIN qs USING (item_id) GROUP BY item_id")
+@query("recent_expand", _SQL.replace("WITH f AS", "WITH f AS") + " SELECT item_id, max(round(0.6 * shared / nullif(qsum, 0), 6)) AS score FROM s JOIN qs USING (item_id) GROUP BY item_id")
 def recent_expand(spark: SparkSession, d: str) -> DataFrame:
     """Best score of a search by words of recent turns, at six tenths."""
-    return scored(spark, d).groupBy("item_id").agg(F.max(F.round(0.6 * F.col("shared") / F.col("qsum"), 6)).alias("score"))
+    return scored(spark, d).groupBy("item_id").agg(F.max(F.round(F.try_divide(0.6 * F.col("shared"), F.col("qsum")), 6)).alias("score"))
 
 
 @query("name_follow", "WITH n AS (SELECT fact_id, unnest(list_distinct(regexp_extract_all(coalesce(a, ''), '[A-Z][a-z]{5,}'))) AS name FROM knowledge_real), i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(coalesce(a, ''), '[A-Z][a-z]{5,}'))) AS name FROM items WHERE split = 'dev'), r AS (SELECT name FROM n GROUP BY name HAVING count(*) <= 20) SELECT item_id, count(DISTINCT fact_id) AS facts FROM i JOIN r USING (name) JOIN n USING (name) GROUP BY item_id")
@@ -186,7 +186,7 @@ def name_follow(spark: SparkSession, d: str) -> DataFrame:
     return i.join(r, "name").join(n, "name").groupBy("item_id").agg(F.countDistinct("fact_id").alias("facts"))
 
 
-@query("lookalikes", _SQL + ", k AS (SELECT item_id, fact_id, round(shared / qsum, 6) AS score FROM s JOIN qs USING (item_id)) SELECT k.item_id, k.fact_id FROM k JOIN items i USING (item_id) JOIN knowledge_real f ON f.fact_id = k.fact_id WHERE score >= 0.2 AND len(list_intersect(regexp_extract_all(lower(coalesce(i.a, '')), '[a-z]{6,}'), regexp_extract_all(lower(coalesce(f.a, '')), '[a-z]{6,}'))) = 0")
+@query("lookalikes", _SQL + ", k AS (SELECT item_id, fact_id, round(shared / nullif(qsum, 0), 6) AS score FROM s JOIN qs USING (item_id)) SELECT k.item_id, k.fact_id FROM k JOIN items i USING (item_id) JOIN knowledge_real f ON f.fact_id = k.fact_id WHERE score >= 0.2 AND len(list_intersect(regexp_extract_all(lower(coalesce(i.a, '')), '[a-z]{6,}'), regexp_extract_all(lower(coalesce(f.a, '')), '[a-z]{6,}'))) = 0")
 def lookalikes(spark: SparkSession, d: str) -> DataFrame:
     """Facts near a question that share no longer word with its answer."""
     long = lambda c: F.regexp_extract_all(F.lower(T.text(F.col(c))), F.lit("[a-z]{6,}"), 0)
