@@ -8,7 +8,7 @@ from factloom.operators import collapse, overlap, packing
 from factloom.plans.session import table
 from factloom.registry import ORACLES, QUERIES, query
 
-from factloom.catalog import aggregates, dedup, evaluation, generate, joins, memory, nested, retrieval, text, tokenizing, windows  # noqa: E402, F401, I001
+from factloom.catalog import aggregates, dedup, evaluation, generate, joins, memory, more, nested, retrieval, text, tokenizing, windows  # noqa: E402, F401, I001
 
 __all__ = ["ORACLES", "QUERIES"]
 
