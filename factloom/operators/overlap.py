@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.canonical import letters_digits
-from factloom.plans.session import cut
+from factloom.plans.session import cut, spread
 
 #: Records of a shard, which bounds what is broadcast; matches are looked up once no more than SELECTIVE records hold them.
-SHARD_RECORDS, SELECTIVE, RAREST = 50_000, 32, 6
+SHARD_RECORDS, SELECTIVE, RAREST = 150_000, 32, 6
 WORD = re.compile(r"[^\W_]+")
 STARTS = re.compile(r"(?:^|[.!?:;•\n“\"«»(\[]|\d\.)\s*$")
 
@@ -104,8 +104,9 @@ def say_the_same(a: Record, b: Record, ordinary: Callable[[str], bool], share: f
 class Index:
     """The full-text index of one shard of records."""
 
-    def __init__(self, ids: np.ndarray, records: list[Record]):
-        self.ids, self.records = ids, records
+    def __init__(self, ids: np.ndarray, fields: list[tuple[str | None, ...]]):
+        self.ids, self.fields, self.read = ids, fields, {}
+        records = [read_record(f) for f in fields]
         df = Counter(w for r in records for w in r.words)
         lower = Counter(w for r in records for w in r.words if w not in r.names and w not in r.unsure)
         self.common = frozenset(w for w, c in lower.items() if c > 1 and 2 * c >= df[w])
@@ -168,12 +169,12 @@ class Index:
             got = got[:, got[2] > got[1]]
             many = got[2] - got[1]
             rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(got[1], many)
-            out.append(np.unique(np.repeat(got[0], many) * (len(self.records) + 1) + self.doc[rows]))
+            out.append(np.unique(np.repeat(got[0], many) * (len(self.fields) + 1) + self.doc[rows]))
             open_queries = np.setdiff1d(np.flatnonzero(sizes > 0), got[0]) if most else open_queries
             if not len(open_queries):
                 break
         pairs = np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
-        q, d = np.divmod(pairs, len(self.records) + 1)
+        q, d = np.divmod(pairs, len(self.fields) + 1)
         # Counts of the words that the spans of a pair share, by a join of sorted (query, word) keys.
         width = max(self.symbol.values(), default=0) + 1
         have = np.repeat(np.arange(len(queries)), sizes) * width + flat
@@ -185,15 +186,24 @@ class Index:
         near = shared >= 0.4 * np.minimum(self.sizes[d], np.maximum(sizes[q], 1))
         return q[near], d[near]
 
+    def record(self, d: int) -> Record:
+        """The record at d, read when a candidate first needs it."""
+        r = self.read.get(d)
+        if r is None:
+            if len(self.read) > 50_000:
+                self.read.clear()
+            r = self.read[d] = read_record(self.fields[d])
+        return r
+
     def search(self, ids: np.ndarray, records: list[Record]) -> Iterator[tuple[int, int]]:
         queries = [sorted(self.symbol[w] for w in r.words if w in self.symbol) for r in records]
         for q, d in zip(*self.candidates(queries)):
-            if say_the_same(records[q], self.records[d], self.common.__contains__):
+            if say_the_same(records[q], self.record(int(d)), self.common.__contains__):
                 yield int(ids[q]), int(self.ids[d])
 
 
 def build(pdf: pd.DataFrame) -> pd.DataFrame:
-    index = Index(pdf["id"].to_numpy(np.int64), [read_record((q, a)) for q, a in zip(pdf["q"], pdf["a"])])
+    index = Index(pdf["id"].to_numpy(np.int64), list(zip(pdf["q"], pdf["a"])))
     return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "index": [pickle.dumps(index, protocol=5)]})
 
 
@@ -238,7 +248,7 @@ def cross_split(items: DataFrame, shard_records: int = SHARD_RECORDS) -> DataFra
         for s in range(shards):
             for row in built.filter(F.col("shard") == s).toLocalIterator():
                 blob = spark.sparkContext.broadcast(bytes(row["index"]))
-                some = train.filter(F.col("source") == r["source"]).select("id", "q", "a")
+                some = spread(train.filter(F.col("source") == r["source"]).select("id", "q", "a"), "id")
                 found.append(some.mapInPandas(streamed(blob), "id bigint, rep bigint"))
     if not found:
         return spark.createDataFrame([], "train_id bigint, eval_id bigint, split string, source string")
