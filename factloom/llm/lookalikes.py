@@ -163,7 +163,7 @@ def vocabulary(df: DataFrame, cols: list[str], most: int = VOCABULARY) -> dict[s
     """The `most` frequent words of one script, over all rows and columns; words met once are no vocabulary."""
     words = F.flatten(F.array(*[F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]+"), 0) for c in cols]))
     one = r"^(\p{IsLatin}+|\p{IsCyrillic}+|\p{IsGreek}+)$"
-    rows = df.select(F.explode(words).alias("w")).groupBy("w").count().filter((F.col("count") > 1) & F.col("w").rlike(one)).orderBy(F.desc("count"), "w").limit(most).collect()
+    rows = spread(df.select(*cols)).select(F.explode(words).alias("w")).groupBy("w").count().filter((F.col("count") > 1) & F.col("w").rlike(one)).orderBy(F.desc("count"), "w").limit(most).collect()
     return {r["w"]: r["count"] for r in rows}
 
 

@@ -137,7 +137,8 @@ def fit(docs: DataFrame, subject_labels: DataFrame, subjects: DataFrame, most: i
     """Rules from at most `most` labelled documents; the threshold is the one under which their labels are met best (F1)."""
     own = labels(subject_labels, subjects).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("own"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    some = cut(spread(docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").alias("id"), "t", "own"), "id"))
+    some = docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").alias("id"), "t", "own")
+    some = cut(some.repartition(3 * docs.sparkSession.sparkContext.defaultParallelism, "id"))
     learned = cut(some.mapInPandas(transactions, "id bigint, n int, words array<string>, own array<string>"))
     rules = mine(learned)
     blob = docs.sparkSession.sparkContext.broadcast(rules)
