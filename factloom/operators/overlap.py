@@ -31,15 +31,16 @@ STARTS = re.compile(r"(?:^|[.!?:;•\n“\"«»(\[]|\d\.)\s*$")
 
 @dataclass
 class Record:
-    """A record's words: counts, those that are names, and those at a sentence's start or in a text without letter case."""
+    """A record's words: counts, those that are names, those at a sentence's start or in a text without letter case, and their order."""
 
     words: Counter
     names: frozenset
     unsure: frozenset
+    order: tuple = ()
 
 
 def read_record(fields: tuple[str | None, ...]) -> Record:
-    words, names, unsure = Counter(), set(), set()
+    words, names, unsure, order = Counter(), set(), set(), []
     for field in fields:
         text = unicodedata.normalize("NFC", field or "")
         found = [(m.group(), m.start()) for m in WORD.finditer(text)]
@@ -49,13 +50,14 @@ def read_record(fields: tuple[str | None, ...]) -> Record:
         for w, at in found:
             k = w.casefold()
             words[k] += 1
+            order.append(k)
             if not w[0].isalpha() or len(w) < 2:
                 continue
             if plain or (w[0].isupper() and STARTS.search(text[max(0, at - 6) : at])):
                 unsure.add(k)
             elif w[0].isupper():
                 names.add(k)
-    return Record(words, frozenset(names), frozenset(unsure - names))
+    return Record(words, frozenset(names), frozenset(unsure - names), tuple(order))
 
 
 def slip(a: str, b: str) -> bool:
@@ -79,6 +81,14 @@ def slip(a: str, b: str) -> bool:
     return one[-1] <= most
 
 
+def aside(extra: list[str], record: Record) -> bool:
+    """Whether all that a record has more is one phrase of three words or more before or after the rest, without a number; its
+    capital begins a sentence, though no stop stands before it."""
+    n = len(extra)
+    ends = [part for part in (record.order[:n], record.order[-n:]) if Counter(part) == Counter(extra)]
+    return n > 2 and any(p[0] in extra and sum(w in record.names for w in p) <= (p[0] in record.names) for p in ends) and not any(c.isdigit() for w in extra for c in w)
+
+
 def say_the_same(a: Record, b: Record, ordinary: Callable[[str], bool], share: float = 0.7) -> bool:
     """All names and numbers agree and so do `share` of the words of the longer record, up to slips of spelling."""
     n = max(a.words.total(), b.words.total())
@@ -89,6 +99,8 @@ def say_the_same(a: Record, b: Record, ordinary: Callable[[str], bool], share: f
     if both.total() + min(len(left), len(right)) < share * n:
         return False
     for mine, own, other in ((left, a, b), (right, b, a)):
+        if own is (a if not right else b if not left else None) and aside(mine, own):
+            continue
         if any(w not in other.words and (w in own.names or any(c.isdigit() for c in w)) for w in mine):
             return False
     agreed = both.total()
