@@ -91,7 +91,7 @@ def pieces(windows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def pack(windows: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Each window's place: kind, container (null only where the kind has no capacity), at (offset in the container),
+    """Each window's place: kind, container (null only where the kind has no capacity or the window no id), at (offset in the container),
     window_id, piece, start (offset in the window), n (codes), prompt_at and prompt_n (the piece's part of the prompt, in the
     container; both null for a null prompt_len).
 
@@ -102,7 +102,7 @@ def pack(windows: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFram
     """
     spark = windows.sparkSession
     all_pieces = cut(pieces(windows, targets))
-    todo, done, rounds = all_pieces.filter("capacity is not null").select("kind", "window_id", "piece", "n", "capacity"), [], 0
+    todo, done, rounds = all_pieces.filter("capacity is not null and window_id is not null").select("kind", "window_id", "piece", "n", "capacity"), [], 0
     caps = {r["kind"]: r["capacity"] for r in targets.filter("capacity > 0").groupBy("kind").agg(F.max("capacity").alias("capacity")).collect()}
     before: dict[str, int] = {}
     while True:

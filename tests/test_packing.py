@@ -31,7 +31,7 @@ def test_fill_keeps_capacity():
 def test_windows_whole_cut_null_and_repeated(spark):
     rng = random.Random(4)
     rows = [(i, "qa", [1] * rng.randint(0, 90), rng.choice([None, 0, 5, 500, -3]), 0) for i in range(300)]
-    rows += [(1000, "qa", None, None, 0), (1001, "qa", [1] * 250, 120, 0), (1001, "qa", [1] * 40, 10, 0), (1002, "other", [1, 2], 1, 0), (1003, None, [1], 0, 0)]
+    rows += [(1000, "qa", None, None, 0), (1001, "qa", [1] * 250, 120, 0), (1001, "qa", [1] * 40, 10, 0), (1002, "other", [1, 2], 1, 0), (1003, None, [1], 0, 0), (None, "qa", [1], 0, 0)]
     df = spark.createDataFrame(rows, WINDOWS)
     targets = spark.createDataFrame([("qa", 100)], "kind string, capacity int")
     out = pack(df, targets, block=64).collect()
@@ -46,7 +46,7 @@ def test_windows_whole_cut_null_and_repeated(spark):
     cut = sorted(got[1001], key=lambda r: (r.piece, -r.n))
     assert sorted(r.n for r in cut) == [40, 50, 100, 100]
     assert sum(r.prompt_n for r in cut if r.n != 40) == 120
-    assert got[1002][0].container is None and got[1003][0].container is None
+    assert got[None][0].container is None and got[1002][0].container is None and got[1003][0].container is None
     for r in out:
         if r.prompt_n is not None:
             assert 0 <= r.prompt_n <= r.n
