@@ -181,13 +181,13 @@ def respelled(blob) -> Callable:
 def consistent(df: DataFrame, id_col: str = "fact_id", cols: tuple[str, ...] = ("q", "a")) -> DataFrame:
     """(id, *cols, *cols_canonical): each column with its consistent form, for rows where one reaches beyond ASCII.
 
-    Rows left out are consistent already: pure ASCII, null or empty in all cols.
+    Rows left out are consistent already (pure ASCII, null or empty in all cols) or have no id.
     """
     blob = df.sparkSession.sparkContext.broadcast(vocabulary(df, list(cols)))
     high = F.lit(False)
     for c in cols:
         high = high | F.coalesce(F.col(c).rlike(r"[^\x00-\x7F]"), F.lit(False))
-    some = df.filter(high).select(F.col(id_col).alias("id"), *cols)
+    some = df.filter(high & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *cols)
     schema = "id bigint, " + ", ".join(f"{c} string" for c in cols) + ", " + ", ".join(f"{c}_canonical string" for c in cols)
     return spread(some, "id").mapInPandas(respelled(blob), schema)
 

@@ -24,7 +24,7 @@ def test_trie_prefers_frequent_words():
 
 def test_table(spark):
     schema = "fact_id bigint, q string, a string, id int, field string"
-    rows = [(1, "What is thе pot?", "plain", 0, "x"), (2, None, "a​b", 0, "x"), (3, "é", "ok", 0, "x"), (4, None, None, 0, "x"), (5, "ﬁ", "ﬁ", 0, "x"), (5, "ﬁ", "ﬁ", 0, "x")]
+    rows = [(1, "What is thе pot?", "plain", 0, "x"), (2, None, "a​b", 0, "x"), (3, "é", "ok", 0, "x"), (4, None, None, 0, "x"), (None, "ﬁ", "ﬁ", 0, "x"), (5, "ﬁ", "ﬁ", 0, "x"), (5, "ﬁ", "ﬁ", 0, "x")]
     df = spark.createDataFrame(rows, schema)
     assert sorted((r.id, r.field) for r in inconsistent_fields(df).collect()) == [(1, "q"), (2, "a"), (5, "a"), (5, "a"), (5, "q"), (5, "q")]
     assert consistent(spark.createDataFrame([], schema)).count() == 0
