@@ -7,6 +7,7 @@ says whether the head moves on. Windows that few edits part agree in most steps,
 from __future__ import annotations
 
 import hashlib
+import math
 import pickle
 import re
 import unicodedata
@@ -49,10 +50,15 @@ class Index:
         most = max(3, 0.01 * len(passages))
         self.number = {w: i + 2 for i, w in enumerate(sorted(df))}  # 0 fills up, 1 is any other word
         rare = np.zeros(len(df) + 2, bool)
+        anchor = np.zeros(len(df) + 2, bool)
+        wrong = LEAST - math.ceil(SHARE * LEAST)
         for ws in self.words:
             own = [w for w in set(ws) if df[w] <= most] or list(set(ws))  # a passage of common words counts them all
             rare[[self.number[w] for w in own]] = True
-        self.rare = rare
+            # Of each LEAST words in a row one more is an anchor than may be wrong.
+            for i in range(max(1, len(ws) - LEAST + 1) if ws else 0):
+                anchor[[self.number[w] for w in sorted(set(ws[i : i + LEAST]), key=lambda w: (df[w], w))[: wrong + 1]]] = True
+        self.rare, self.anchor = rare, rare | anchor
         self.bits = np.zeros((WALKS, len(df) + 2), np.int64)
         for walk in range(WALKS):
             self.bits[walk, :2] = word_bits("", walk), word_bits(" ", walk)
@@ -79,7 +85,7 @@ class Index:
             self.tables.append((keys[keep][order], owner[keep][order], offset[keep][order]))
 
     def hashes(self, text: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each table: the windows' bucket keys, and which windows' samples hold a rare word."""
+        """For each table: the windows' bucket keys, and which windows' samples hold a rare word, or an anchor beside another word."""
         if not len(starts):
             for _ in range(WALKS * len(self.samples[0])):
                 yield np.empty(0, np.int64), np.empty(0, bool)
@@ -92,15 +98,19 @@ class Index:
                 steps[j] = word
                 head += self.bits[walk, word] >> j & 1
             for sample in self.samples[walk]:
-                keys, keep = np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
+                keys = np.zeros(len(starts), np.int64)
+                rare, anchor, two, last = np.zeros(len(starts), bool), np.zeros(len(starts), bool), np.zeros(len(starts), bool), None
                 for j in sample:
                     keys = keys * np.int64(1_000_003) + steps[j]
-                    keep |= self.rare[steps[j]]
-                yield keys, keep
+                    rare |= self.rare[steps[j]]
+                    anchor |= self.anchor[steps[j]]
+                    two |= (steps[j] > 1) & (last > 1) & (steps[j] != last) if last is not None else False
+                    last = steps[j]
+                yield keys, rare | anchor & two
 
     def candidates(self, text: np.ndarray) -> np.ndarray:
         """Distinct (passage, diagonal) of the bucket mates of a text's windows; diagonal: text less passage position."""
-        spots = np.flatnonzero(self.rare[text])
+        spots = np.flatnonzero(self.anchor[text])
         if not len(spots):
             return np.empty((0, 2), np.int64)
         near = np.unique((spots[:, None] - np.arange(WINDOW)[None, :]).ravel())
@@ -117,7 +127,7 @@ class Index:
         return np.stack([both >> 40, (both & (1 << 40) - 1) - (1 << 20)], 1)
 
     def promising(self, text: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """The pairs on whose diagonal eight words in a row hold four equal ones, and any a rare one."""
+        """The pairs on whose diagonal eight words in a row hold four equal ones, and any a rare one or as many equal ones as align may need."""
         keep = np.zeros(len(pairs), bool)
         for at in range(0, len(pairs), 20_000):
             p, diagonal = pairs[at : at + 20_000, 0], pairs[at : at + 20_000, 1]
@@ -127,7 +137,7 @@ class Index:
             same = (text[np.where(inside, spots, 0)] == own) & inside & (own > 1)
             total = np.cumsum(same, 1, dtype=np.int16)
             total[:, WINDOW:] -= total[:, :-WINDOW].copy()
-            keep[at : at + 20_000] = (total.max(1) >= 4) & (same & self.rare[own]).any(1)
+            keep[at : at + 20_000] = (total.max(1) >= 4) & ((same & self.rare[own]).any(1) | (same.sum(1) >= int(SHARE * LEAST) // 2))
         return pairs[keep]
 
     def found(self, documents: list[list[str]]) -> list[tuple[int, int]]:
@@ -155,7 +165,7 @@ class Index:
 
     def align(self, key: tuple[int, int], diagonal: int, words: list[str], text: np.ndarray, hits: dict[tuple[int, int], np.ndarray]) -> None:
         """Mark the passage words that segments of this diagonal match, slips of spelling among them. Segments grow while at
-        most one word in four is wrong and count if they hold five words and a rare one."""
+        most one word in four is wrong and count if they hold five words and a rare one, or as many as make a passage contained."""
         p = key[1]
         own = self.text[p]
         lo, hi = max(0, -diagonal), min(len(own), len(text) - diagonal)
@@ -172,7 +182,7 @@ class Index:
             if i == len(line) or (score := score + (1.0 if line[i] else -3.0)) < 0 or score < best - 9:
                 if best_end - start >= 4:
                     part = same[start : best_end + 1]
-                    if part.sum() >= 5 and self.rare[own[lo + start : lo + best_end + 1][part]].any():
+                    if part.sum() >= SHARE * LEAST or part.sum() >= 5 and self.rare[own[lo + start : lo + best_end + 1][part]].any():
                         hits.setdefault(key, np.zeros(len(own), bool))[lo + start : lo + best_end + 1] |= part
                 start, best, best_end, score = i + 1, 0.0, -1, 0.0
             elif score > best:

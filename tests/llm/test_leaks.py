@@ -62,3 +62,20 @@ def test_just_enough_words():
     text = passages(1, 5)[0]
     ix, words = Index([(1, text)]), tokens(text)
     assert ix.found([words[3 : 3 + LEAST]]) == [(0, 0)] and ix.found([words[3 : 3 + LEAST - 4]]) == []
+
+
+def test_stretches_of_common_words():
+    rng = random.Random(3)
+    vocab = [f"w{i}x" for i in range(80)]
+    common = [[rng.choice(vocab) for _ in range(44)] for _ in range(300)]
+    ix = Index([(i, " ".join(ws + [f"only{i}"])) for i, ws in enumerate(common)])
+    docs, want = [], set()
+    for d in range(200):
+        p = rng.randrange(300)
+        part = common[p][4 : 4 + LEAST + 4]
+        for i in rng.sample(range(len(part)), 2):
+            part[i] = "zzz"
+        docs.append(["aaa"] * 5 + part + ["bbb"] * 5)
+        want.add((d, p))
+    got = set(ix.found(docs))
+    assert got <= want and len(got) >= 0.9 * len(want)
