@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factloom.catalog.joins import TEMPLATES
 
-#: Values kept of each attribute's past.
+#: Values that the stream's state keeps of each attribute's past; the batch keeps all.
 HISTORY = 100
 OUT = "conv_id bigint, who string, attribute string, value string, turn int, history array<string>"
 STATE = "facts string"
@@ -28,7 +28,7 @@ def statements(turns: DataFrame) -> DataFrame:
     return turns.filter(any_).select("conv_id", "turn", *[c.alias(k) for k, c in out.items()])
 
 
-def upsert(facts: dict, rows: pd.DataFrame) -> set[str]:
+def upsert(facts: dict, rows: pd.DataFrame, most: int | None = None) -> set[str]:
     """Put rows into facts in order of turn; a turn that came late doesn't replace a newer value but joins the history."""
     touched = set()
     for r in rows.sort_values("turn").itertuples():
@@ -37,9 +37,12 @@ def upsert(facts: dict, rows: pd.DataFrame) -> set[str]:
         if old is None:
             facts[key] = {"value": r.value, "turn": int(r.turn), "history": []}
         elif r.turn >= old["turn"]:
-            facts[key] = {"value": r.value, "turn": int(r.turn), "history": [*old["history"], old["value"]][-HISTORY:]} if r.value != old["value"] else {**old, "turn": int(r.turn)}
+            if r.value != old["value"]:
+                old["history"].append(old["value"])
+                del old["history"][: -most if most else 0]
+            old |= {"value": r.value, "turn": int(r.turn)}
         elif r.value not in (old["value"], *old["history"]):
-            old["history"] = [r.value, *old["history"]][:HISTORY]
+            old["history"] = [r.value, *old["history"]][:most]
         touched.add(key)
     return touched
 
@@ -57,7 +60,7 @@ def stream_facts(turns: DataFrame) -> DataFrame:
         facts = json.loads(state.get[0]) if state.exists else {}
         touched: set[str] = set()
         for pdf in batches:
-            touched |= upsert(facts, pdf)
+            touched |= upsert(facts, pdf, HISTORY)
         state.update((json.dumps(facts),))
         yield rows_of(key[0], facts, touched)
 
@@ -65,7 +68,7 @@ def stream_facts(turns: DataFrame) -> DataFrame:
 
 
 def batch_facts(turns: DataFrame) -> DataFrame:
-    """The same over a finished table: a conversation is the unit of state, as in the stream."""
+    """The same over a finished table: a conversation is the unit of state, as in the stream, but with its whole history."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         facts: dict = {}

@@ -72,3 +72,14 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     last = spark.table("facts").groupBy("conv_id", "who", "attribute").agg(F.max_by("value", "turn").alias("value")).collect()
     assert {(r.conv_id, r.who, r.value) for r in last} == {(1, "Kim", "Bergen"), (2, "Lars", "Lima")}
+
+
+def test_batch_keeps_the_whole_history(spark):
+    from factloom.streaming import conversations
+
+    cities = ["Lo" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(151)]
+    turns = spark.createDataFrame([(1, i, f"My aunt Anna lives in {c}.") for i, c in enumerate(cities)], "conv_id bigint, turn int, text string")
+    told = conversations.statements(turns).orderBy("turn").collect()
+    assert len(told) == len(cities)
+    (r,) = conversations.batch_facts(turns).collect()
+    assert r.value == told[-1].value and r.history == [x.value for x in told[:-1]]
