@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parents[1]
     if root.parent.is_dir() and root.is_dir():
         sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="factloom-"), "factloom"), "zip", root.parent, root.name))
+    spark.conf.set("spark.sql.maxPlanStringLength", "100000")  # literal tables would fill descriptions of plans
     sc._factloom_shipped = True
 
 
@@ -49,7 +51,10 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """Use the folder in spark.checkpoint.dir; only where it is unset take a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="factloom-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -58,6 +63,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder: a cut that keeps columns apart and packed, for what is read in parts."""
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
