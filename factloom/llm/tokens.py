@@ -1,7 +1,7 @@
 """Byte-level BPE with a public vocabulary, as expressions of Spark: ranked merges folded over the bytes of distinct words.
 
-A piece is one character, U+10000 plus its id, so a word under way is a string with one character a piece: merging a pair
-everywhere, from the left, is one replace. The rank map is a literal: a perfect hash of the pairs over three arrays.
+A word under way is an array of ids with the ranks of their pairs, so that a merge looks up two new ranks only. The rank map
+is a literal: a perfect hash of the pairs over three arrays.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the public tokenizer's division of text, with Unicode's white space.
 PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z\p{L}]++| ?\p{N}++| ?[^\p{IsWhite_Space}\p{L}\p{N}]++|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}++"
-FIRST, SLOTS, BUCKETS, WHOLE = 0x10000, 1 << 16, 1 << 14, 1 << 18
+SLOTS, BUCKETS, WHOLE, NONE = 1 << 16, 1 << 14, 1 << 18, 1 << 20
+#: Share of the texts that are sampled for hot words, which one in HOT of them holds; slots of their lookup.
+SAMPLED, HOT, HOT_SLOTS = 0.005, 100, 1 << 14
 
 
 def default_path() -> str:
@@ -111,13 +113,11 @@ class Vocabulary:
         self.cut, shifts, entries = perfect([a << 16 | b for a, b in self.pairs])
         self.shifts, self.entries = longs(shifts), longs(entries)
         made = {*self.merged, *(i for i, p in enumerate(self.pieces) if len(p) == 1)}
-        sign = lambda i: chr(FIRST + i)
-        self.pair_signs = F.split(F.lit(",".join(sign(a) + sign(b) for a, b in self.pairs)), ",")
-        self.merged_signs = F.split(F.lit(",".join(map(sign, self.merged))), ",")
+        self.merged_ids = F.split(F.lit(",".join(map(str, self.merged))), ",").cast("array<int>")
         single = {p[0]: i for i, p in enumerate(self.pieces) if len(p) == 1}
-        self.latin = "".join(map(chr, range(1, 256)))
-        self.signs = "".join(sign(single[b]) for b in range(1, 256))
-        self.zero = sign(single[0])
+        first = {self.pieces[a] + self.pieces[b]: r for r, (a, b) in reversed(list(enumerate(self.pairs))) if len(self.pieces[a]) == len(self.pieces[b]) == 1}
+        self.first_ranks = F.split(F.lit(",".join(str(first.get(bytes((a, b)), NONE)) for a in range(256) for b in range(256))), ",").cast("array<int>")
+        self.single_ids = F.split(F.lit(",".join(str(single[b]) for b in range(256))), ",").cast("array<int>")
         # Words that are one piece by Spark's hash; where two meet in a slot the later one takes the long way like any other word.
         slots, spelled = [-1] * WHOLE, [""] * len(self.pieces)
         for i, piece in enumerate(self.pieces):
@@ -134,13 +134,13 @@ class Vocabulary:
 
     def rank(self, left: Column, right: Column) -> Column:
         """The merge's rank, null if the pair is none."""
-        key = F.shiftleft(left, 16).bitwiseOR(right)
+        key = F.shiftleft(left.cast("bigint"), 16).bitwiseOR(right.cast("bigint"))
 
         def look(h: Column) -> Column:
             at = F.shiftrightunsigned(h, self.cut).bitwiseXOR(F.get(self.shifts, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))).bitwiseAND(F.lit(SLOTS - 1))
             return F.get(self.entries, at.cast("int"))
 
-        return let(let(F.xxhash64(key), look), lambda e: F.when(F.shiftright(e, 16) == key, e.bitwiseAND(F.lit(0xFFFF))))
+        return let(let(F.xxhash64(key), look), lambda e: F.when(F.shiftright(e, 16) == key, e.bitwiseAND(F.lit(0xFFFF)).cast("int")))
 
     def whole(self, word: Column) -> Column:
         """The id of a word that is one piece, null for any other word."""
@@ -148,28 +148,53 @@ class Vocabulary:
         return F.when(F.get(self.spelled, at) == word, at)
 
     def encode_word(self, word: Column) -> Column:
-        """array<int>: the ids of one word."""
-        raw = F.encode(word, "UTF-8")
-        start = F.replace(F.translate(F.decode(raw, "ISO-8859-1"), self.latin, self.signs), F.lit("\x00"), F.lit(self.zero))
-
-        def best(s: Column) -> Column:
-            codes = F.transform(F.split(s, ""), lambda c: (F.ascii(c) - FIRST).cast("bigint"))
-            return F.get(F.transform(F.array(codes), lambda c: F.array_min(F.transform(F.slice(c, 1, F.size(c) - 1), lambda x, i: self.rank(x, F.get(c, i + 1))))), 0)
-
-        def merge(acc: Column, _: Column) -> Column:
-            def apply(rank: Column) -> Column:
-                at = rank.cast("int")
-                return F.struct(
-                    F.when(rank.isNull(), acc["s"]).otherwise(F.replace(acc["s"], F.get(self.pair_signs, at), F.get(self.merged_signs, at))).alias("s"),
-                    rank.isNull().alias("done"),
-                )
-
-            return F.when(acc["done"], acc).otherwise(F.get(F.transform(F.array(best(acc["s"])), apply), 0))
-
-        first = F.struct(start.alias("s"), F.lit(False).alias("done"))
-        steps = F.sequence(F.lit(1), F.greatest(F.length(raw), F.lit(1)))
-        done = F.aggregate(steps, first, merge)
-        return F.transform(F.split(done["s"], ""), lambda c: F.ascii(c) - FIRST)
+        """array<int>: the ids of one word. Each step merges the leftmost pair of the least rank and looks up two new ranks.
+
+        An element of the folded array holds an id below the rank of the pair that it begins, NONE where that is none.
+        """
+        chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+        bytes_ = F.transform(chars, F.ascii)
+        packed = lambda rank, code: F.shiftleft(F.coalesce(rank, F.lit(NONE)).cast("bigint"), 20) + code
+        start = let(bytes_, lambda b: F.transform(b, lambda x, i: packed(F.get(self.first_ranks, x * 256 + F.get(b, i + 1)), F.get(self.single_ids, x))))
+        code = lambda e: e.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+
+        def merged(e: Column, i: Column) -> Column:
+            new = F.get(self.merged_ids, F.shiftright(F.get(e, i - 1), 20).cast("int"))
+            after = packed(self.rank(new, code(F.get(e, i + 1))), new)
+            before = code(F.get(e, i - 2))
+            middle = F.when(i > 1, F.array(packed(self.rank(before, new), before), after)).otherwise(F.array(after))
+            return F.concat(F.slice(e, 1, F.greatest(i - 2, F.lit(0))), middle, F.slice(e, i + 2, F.lit(1 << 30)))
+
+        def merge(e: Column, _: Column) -> Column:
+            least = F.array_min(e)
+            return F.when(least >= NONE << 20, e).otherwise(let(F.array_position(e, least).cast("int"), lambda i: merged(e, i)))
+
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1))), start, merge, lambda e: F.transform(e, code))
+
+    def hot(self, texts: DataFrame) -> Callable[[Column], Column]:
+        """A lookup of the words of several pieces that at least one in HOT texts of a sample holds: their ids, else null.
+
+        A text holds a bounded number of words on average, so there are at most HOT times as many of them.
+        """
+        some = texts.sample(SAMPLED, 7).select(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col("t"), F.lit("")), F.lit(PATTERN), 0)).alias("w"))
+        counts = some.select(F.explode(F.filter("w", lambda w: self.whole(w).isNull())).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+        total = some.agg(F.count(F.lit(1)).alias("all"))
+        frequent = counts.filter("n > 2").crossJoin(F.broadcast(total)).filter(F.col("n") * HOT >= F.col("all"))
+        known = frequent.select("w", F.array_join(self.encode_word(F.col("w")).cast("array<string>"), " ").alias("i")).collect()
+        slots, own = [-1] * HOT_SLOTS, []
+        for r in sorted(known):
+            at = murmur(r["w"].encode()) & (HOT_SLOTS - 1)
+            if slots[at] < 0 and "\x01" not in r["w"]:
+                slots[at] = len(own)
+                own.append(r)
+        places = F.split(F.lit(",".join(map(str, slots))), ",").cast("array<int>")
+        names, values = (F.split(F.lit("\x01".join(r[c] for r in own)), "\x01") for c in ("w", "i"))
+
+        def look(word: Column) -> Column:
+            at = F.get(places, F.hash(word).bitwiseAND(F.lit(HOT_SLOTS - 1)))
+            return F.when(F.get(names, at) == word, F.split(F.get(values, at), " ").cast("array<int>"))
+
+        return look
 
     def text(self, ids: Column) -> Column:
         """The text of ids: their binary pieces, one after the other."""
@@ -179,18 +204,21 @@ class Vocabulary:
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
     """df with out, array<int>: the ids of text without special tokens; null and empty texts give an empty list.
 
-    A word that is one piece is looked up in place. Each other distinct word is encoded once, in all of df, and comes back by
-    the text's hash: two texts with one hash only share a larger dictionary, so the result stays exact. Columns of df keep
-    their names; one called out is replaced.
+    A word that is one piece, or that a sample shows to be in many texts, is looked up in place. The other distinct words go
+    by word to where each is encoded once, in all of df, and come back by the text's hash: two texts with one hash only share
+    a larger dictionary, so the result stays exact. What the sample misses is slower, not wrong. Columns of df keep their
+    names; one called out is replaced.
     """
     vocab = Vocabulary(path)
-    df.sparkSession.conf.set("spark.sql.maxPlanStringLength", "100000")  # the literal tables would fill descriptions of plans
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), 0)
-    hard = F.filter(F.array_distinct(words), lambda w: vocab.whole(w).isNull())
-    some = df.select(F.xxhash64(text).alias("_key"), F.explode(hard).alias("w"))
-    known = some.select("w").distinct().select("w", vocab.encode_word(F.col("w")).alias("i"))
-    by_text = some.join(known, "w").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("w", "i"))).alias("_ids"))
+    hot = vocab.hot(df.select(F.col(text).alias("t")))
+    hard = F.filter(F.array_distinct(words), lambda w: vocab.whole(w).isNull() & hot(w).isNull())
+    some = df.select(F.xxhash64(text).alias("_key"), F.explode(hard).alias("w")).repartition("w")
+    # The least key keeps both sides of the join one shuffle, whose texts are divided once.
+    known = some.groupBy("w").agg(F.min("_key").alias("k")).select("w", "k", vocab.encode_word(F.col("w")).alias("i"))
+    entry = F.struct("w", F.when(F.col("k") <= F.col("_key"), F.col("i")).alias("i"))
+    by_text = some.join(known.hint("shuffle_hash"), "w").groupBy("_key").agg(F.map_from_entries(F.collect_set(entry)).alias("_ids"))
     rows = df.withColumn("_key", F.xxhash64(text)).join(by_text, "_key", "left")
     at = lambda w: F.get(vocab.slots, F.hash(w).bitwiseAND(F.lit(WHOLE - 1)))
-    ids = F.flatten(F.transform(words, lambda w: F.when(F.get(vocab.spelled, at(w)) == w, F.array(at(w))).otherwise(F.col("_ids")[w])))
+    ids = F.flatten(F.transform(words, lambda w: F.when(F.get(vocab.spelled, at(w)) == w, F.array(at(w))).otherwise(F.coalesce(hot(w), F.col("_ids")[w]))))
     return rows.withColumn(out, F.coalesce(ids, F.array().cast("array<int>"))).drop("_key", "_ids")
