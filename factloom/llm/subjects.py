@@ -6,13 +6,12 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from heapq import nlargest
-from itertools import combinations
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,20 +57,24 @@ def transactions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class Rules:
-    """word -> [(other words, subject, weight)], weights in log-odds; and the evidence that makes a sentence deal with a subject."""
+    """word -> rules of it alone, as (subject, weight), and of it with another word, as (other word, subject, weight); weights
+    are log-odds. threshold: the evidence that makes a sentence deal with a subject."""
 
-    by_word: dict[str, list[tuple[frozenset[str], str, float]]]
+    alone: dict[str, list[tuple[str, float]]]
+    joint: dict[str, list[tuple[str, str, float]]]
     threshold: float = 2.0
 
     def __post_init__(self):
-        self.known = frozenset(self.by_word)
+        self.known = frozenset(self.alone) | frozenset(self.joint)
 
     def evidence(self, words: frozenset[str]) -> dict[str, float]:
         """By subject, the three strongest rules that match."""
         hits: dict[str, list[float]] = {}
         for w in words & self.known:
-            for rest, subject, weight in self.by_word[w]:
-                if rest <= words:
+            for subject, weight in self.alone.get(w, ()):
+                hits.setdefault(subject, []).append(weight)
+            for other, subject, weight in self.joint.get(w, ()):
+                if other in words:
                     hits.setdefault(subject, []).append(weight)
         return {s: sum(ws) if len(ws) < 4 else sum(nlargest(3, ws)) for s, ws in hits.items()}
 
@@ -94,43 +97,132 @@ class Rules:
         return sorted(s for s, n in counts.items() if s and n >= SENTENCES)
 
 
+class Tree:
+    """A tree of frequent patterns: transactions share prefixes, and each node counts them by subject."""
+
+    def __init__(self):
+        self.item, self.parent, self.counts = [-1], [0], [Counter()]
+        self.child: dict[tuple[int, int], int] = {}
+        self.nodes: dict[int, list[int]] = defaultdict(list)
+
+    def add(self, items: Sequence[int], counts: Counter) -> None:
+        at = 0
+        for x in items:
+            new = self.child.get((at, x))
+            if new is None:
+                new = self.child[at, x] = len(self.item)
+                self.item.append(x)
+                self.parent.append(at)
+                self.counts.append(Counter())
+                self.nodes[x].append(new)
+            at = new
+            self.counts[at].update(counts)
+
+    def prefix(self, node: int) -> list[int]:
+        out = []
+        while (node := self.parent[node]):
+            out.append(self.item[node])
+        return out[::-1]
+
+    def patterns(self, own: Callable[[int], bool], least: float, longest: int) -> Iterator[tuple[tuple[int, ...], Counter]]:
+        """Patterns of up to `longest` items that end with an item of one's own, and their counts by subject, where one reaches `least`."""
+        for x in sorted(self.nodes):
+            if not own(x):
+                continue
+            total: Counter = Counter()
+            for node in self.nodes[x]:
+                total.update(self.counts[node])
+            if max(total.values()) < least:
+                continue
+            yield (x,), total
+            if longest > 1:
+                under = Tree()
+                for node in self.nodes[x]:
+                    if self.parent[node]:
+                        under.add(self.prefix(node), self.counts[node])
+                for items, counts in under.patterns(lambda _: True, least, longest - 1):
+                    yield (*items, x), counts
+
+
+def shared(blob, groups: int) -> Callable:
+    """For each group of items, the prefixes of the transactions up to their last item of that group."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = blob.value
+        for pdf in batches:
+            rows = []
+            for words, subject, n in zip(pdf["words"], pdf["subject"], pdf["c"]):
+                items = sorted(number[w] for w in words if w in number)
+                done = set()
+                for at in range(len(items) - 1, 0, -1):
+                    if (g := items[at] % groups) not in done:
+                        done.add(g)
+                        rows.append((g, items[: at + 1], subject, n))
+            yield pd.DataFrame(rows, columns=["g", "items", "subject", "c"])
+
+    return run
+
+
+def grown(least: float, groups: int) -> Callable:
+    """The frequent patterns of two words up to LENGTH of one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = Tree()
+        for items, subject, n in zip(pdf["items"], pdf["subject"], pdf["c"]):
+            tree.add([int(x) for x in items], Counter({subject: int(n)}))
+        g = int(pdf["g"].iloc[0])
+        rows = [(list(items), s, n, sum(counts.values())) for items, counts in tree.patterns(lambda x: x % groups == g, least, LENGTH) if len(items) > 1 for s, n in counts.items() if n >= least]
+        return pd.DataFrame(rows, columns=["items", "subject", "n", "total"])
+
+    return run
+
+
 def mine(learned: DataFrame) -> Rules:
-    """Rules from labelled sentences (columns id, n, words, own): FP-growth over telling words and the subject, then pruning."""
-    single = learned.filter(F.size("own") == 1).withColumn("subject", F.get("own", 0))
-    total = single.count()
+    """Rules from labelled sentences (columns id, n, words, own): parallel FP-growth over telling words, then pruning.
+
+    Equal sentences are one transaction with a weight. Items go to groups, each of which grows its own tree from the
+    prefixes that end in it, and patterns longer than LENGTH are never formed.
+    """
+    spark = learned.sparkSession
+    single = learned.filter(F.size("own") == 1).groupBy(F.get("own", F.lit(0)).alias("subject"), "words").agg(F.count(F.lit(1)).alias("c"))
+    single = cut(single)
+    prior = {r["subject"]: r["c"] for r in single.groupBy("subject").agg(F.sum("c").alias("c")).collect()}
+    total = sum(prior.values())
     if not total:
-        return Rules({})
-    prior = {r["subject"]: r["c"] / total for r in single.groupBy("subject").agg(F.count(F.lit(1)).alias("c")).collect()}
-    by = single.select("subject", F.explode("words").alias("w")).groupBy("w", "subject").agg(F.count(F.lit(1)).alias("c"))
-    word = by.groupBy("w").agg(F.sum("c").alias("n"), F.max("c").alias("top"))
-    telling = word.filter((F.col("n") >= SUPPORT) & (F.col("top") / F.col("n") > 2 * max(prior.values()))).orderBy(F.desc("n"), "w").limit(WORDS).select("w")
-    items = (
-        single.select("id", "n", "subject", F.explode("words").alias("w")).join(F.broadcast(telling), "w").groupBy("id", "n", "subject").agg(F.collect_set("w").alias("ws"))
-        .select(F.concat("ws", F.array(F.concat(F.lit("="), "subject"))).alias("items"))
-    )
-    items = cut(items)
-    n = items.count()
-    if not n:
-        return Rules({})
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(SUPPORT - 0.5, SHARE * n) / n), minConfidence=0.9).fit(items).freqItemsets
-    few = sets.filter(F.size(F.filter("items", lambda x: ~x.startswith("="))).between(1, LENGTH))
-    support = {frozenset(r["items"]): r["freq"] for r in few.collect()}
-    scored: dict[tuple[frozenset[str], str], tuple[float, int]] = {}
-    for s, freq in support.items():
-        subject = next((x for x in s if x.startswith("=")), None)
-        if subject and len(s) > 1:
-            words, p = s - {subject}, prior[subject[1:]]
-            scored[words, subject[1:]] = ((freq + 2 * p) / (support[words] + 2), freq)
-    by_word: dict[str, list] = defaultdict(list)
-    for (words, subject), (confidence, _) in sorted(scored.items(), key=lambda kv: (len(kv[0][0]), sorted(kv[0][0]), kv[0][1])):
-        p = prior[subject]
-        shorter = [scored[frozenset(sub), subject][0] for k in range(1, len(words)) for sub in combinations(sorted(words), k) if (frozenset(sub), subject) in scored]
-        if confidence < 2 * p or confidence < 0.3 or any(confidence < c + GAIN for c in shorter):
-            continue
-        weight = math.log(confidence / (1 - confidence)) - math.log(p / (1 - p))
-        first = min(words)
-        by_word[first].append((words, subject, weight))
-    return Rules(dict(by_word))
+        return Rules({}, {})
+    prior = {s: n / total for s, n in prior.items()}
+    by = single.select("subject", "c", F.explode("words").alias("w")).groupBy("w", "subject").agg(F.sum("c").alias("c"))
+    word = by.groupBy("w").agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.map_from_entries(F.collect_list(F.struct("subject", "c"))).alias("by"))
+    telling = word.filter((F.col("n") >= SUPPORT) & (F.col("top") / F.col("n") > 2 * max(prior.values()))).orderBy(F.desc("n"), "w").limit(WORDS).collect()
+    least = max(SUPPORT, SHARE * total)
+    confidence = lambda freq, n, p: (freq + 2 * p) / (n + 2)
+    odds = lambda c, p: math.log(c / (1 - c)) - math.log(p / (1 - p))
+    one = {(i, s): confidence(c, r["n"], prior[s]) for i, r in enumerate(telling) for s, c in r["by"].items() if c >= least}
+    alone: dict[str, list] = defaultdict(list)
+    joint: dict[str, list] = defaultdict(list)
+    for (i, s), c in sorted(one.items()):
+        if c >= max(2 * prior[s], 0.3):
+            alone[telling[i]["w"]].append((s, odds(c, prior[s])))
+    groups = 8 * spark.sparkContext.defaultParallelism
+    blob = spark.sparkContext.broadcast({r["w"]: i for i, r in enumerate(telling)})
+    prefixes = single.mapInPandas(shared(blob, groups), "g int, items array<int>, subject string, c bigint")
+    found = prefixes.groupBy("g").applyInPandas(grown(least, groups), "items array<int>, subject string, n bigint, total bigint")
+    # Only what beats its shorter rules leaves the executors.
+    p = F.create_map(*[F.lit(x) for kv in prior.items() for x in kv])[F.col("subject")]
+    strong = found.withColumn("c", (F.col("n") + 2 * p) / (F.col("total") + 2)).filter((F.col("c") >= F.greatest(2 * p, F.lit(0.3))) & (F.size("items") == 2))
+    shorter = spark.sparkContext.broadcast(one)
+
+    def better(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            least_gain = [c >= GAIN + max(shorter.value.get((int(x), s), 0.0) for x in items) for items, s, c in zip(pdf["items"], pdf["subject"], pdf["c"])]
+            yield pdf[np.asarray(least_gain, bool)]
+
+    # At most LABELLED documents' sentences with `least` of each, so no more than pairs of a sentence / SHARE rules.
+    rows = strong.select("items", "subject", "c").mapInPandas(better, "items array<int>, subject string, c double").collect()
+    for r in sorted(rows):
+        a, b = (telling[i]["w"] for i in r["items"])
+        joint[a].append((b, r["subject"], odds(r["c"], prior[r["subject"]])))
+    return Rules(dict(alone), dict(joint))
 
 
 def fit(docs: DataFrame, subject_labels: DataFrame, subjects: DataFrame, most: int = LABELLED) -> Rules:

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
+from itertools import combinations
 
-from factloom.llm.subjects import Rules, document_subjects, labels, sentences
+from factloom.llm.subjects import Rules, Tree, document_subjects, labels, mine, sentences
 
 DOCS, LABELS, SUBJECTS = "doc_id bigint, text string, subject string, id int", "doc_id bigint, subject string, annotator string", "subject string, title string"
 WORDS = {"law": "court judge verdict appeal statute witness jury clause".split(), "music": "violin chord sonata tempo orchestra flute choir encore".split(), "sport": "goal referee sprint league striker trophy relay stadium".split()}
@@ -48,5 +50,27 @@ def test_no_labels_and_empty_tables(spark):
 
 def test_sentences_and_evidence():
     assert sentences(None) == [] and sentences("Too short. (Options: a; b; c; d e f)") == []
-    rules = Rules({"court": [(frozenset(["court"]), "law", 2.0)], "goal": [(frozenset(["goal"]), "sport", 2.0)]}, 1.5)
+    rules = Rules({"court": [("law", 2.0)], "goal": [("sport", 2.0)]}, {"old": [("goal", "music", 9.0)]}, 1.5)
     assert rules.subject(frozenset(["court", "old"])) == "law" and rules.subject(frozenset(["court", "goal"])) is None
+    assert rules.subject(frozenset(["old", "goal"])) == "music"
+
+
+def test_patterns_against_counting():
+    rng, rows = random.Random(4), []
+    for _ in range(300):
+        rows.append((sorted(rng.sample(range(12), rng.randint(1, 6))), rng.choice("ab")))
+    tree = Tree()
+    for items, s in rows:
+        tree.add(items, Counter({s: 1}))
+    got = {items: counts for items, counts in tree.patterns(lambda x: True, 5, 2)}
+    for k in (1, 2):
+        for items in combinations(range(12), k):
+            counts = Counter(s for own, s in rows if set(items) <= set(own))
+            assert got.get(items, Counter()) == (counts if max(counts.values(), default=0) >= 5 else Counter())
+
+
+def test_a_sentence_of_many_words_stored_often(spark):
+    words = [f"{a}{b}word" for a in "abcdef" for b in "ghijk"]
+    learned = [(i, n, words, ["law"]) for i in range(100) for n in range(100)] + [(200 + i, 0, [f"{s}{i % 9}", "plain", "thing"], [s]) for s in ("music", "sport") for i in range(9000)]
+    rules = mine(spark.createDataFrame(learned, "id bigint, n int, words array<string>, own array<string>"))
+    assert rules.best(frozenset(words))[0] == "law"
