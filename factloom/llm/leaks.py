@@ -15,6 +15,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -108,10 +109,12 @@ class Index:
         self.words = [tokens(t) for _, t in passages]
         self.number = {w: i + 2 for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}  # 0 fills up, 1 is any other word
         self.bits = np.zeros((WALKS, len(self.number) + 2), np.int64)
+        self.number[""] = 0
         for walk in range(WALKS):
             self.bits[walk, :2] = word_bits("", walk), word_bits(" ", walk)
             for w, i in self.number.items():
-                self.bits[walk, i] = word_bits(w, walk)
+                if w:
+                    self.bits[walk, i] = word_bits(w, walk)
         self.samples = samples(recall)
         held = Counter(w for ws in self.words for w in set(ws))
         self.rarity = [np.asarray([held[w] for w in ws]) for ws in self.words]
@@ -121,9 +124,11 @@ class Index:
         self.sizes = sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
         self.begin = np.cumsum(sizes + WINDOW) - sizes - WINDOW
         self.flat = np.zeros(int((sizes + WINDOW).sum()), np.int32)
+        self.own_flat = np.zeros(len(self.flat), bool)
         owner, offset = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for p, ws in enumerate(self.words):
             self.flat[self.begin[p] : self.begin[p] + len(ws)] = [self.number[w] for w in ws]
+            self.own_flat[self.begin[p] : self.begin[p] + len(self.own[p])] = self.own[p]
             n = max(len(ws) - EQUAL + 1, 0)
             owner.append(np.full(n, p))
             offset.append(np.arange(n))
@@ -179,7 +184,8 @@ class Index:
 
     def promising(self, text: np.ndarray, bounds: np.ndarray, found: np.ndarray) -> dict[tuple[int, int], list[int]]:
         """By (document, passage) the diagonals, where together they hold as many equal words in dense stretches as containment
-        needs, less SLACK. A stretch is dense if two of three words of DENSE in a row are equal; of a contained one four in five are."""
+        needs, less SLACK. A stretch is dense if two of three words of DENSE in a row are equal; of a contained one four in five
+        are. A diagonal counts if it has three words that only its passage has, or enough words by itself, as in align."""
         longest = max(map(len, self.words), default=1)
         marks: dict[tuple[int, int], np.ndarray] = {}
         diagonals: dict[tuple[int, int], list[int]] = {}
@@ -196,7 +202,9 @@ class Index:
             total = np.cumsum(padded, 1)
             good = np.cumsum(np.pad(total[:, DENSE:] - total[:, :-DENSE] >= 2 * DENSE // 3, ((0, 0), (1, 0))), 1)
             dense = same & (good[:, at + DENSE] - good[:, at] > 0)  # at least one of the stretches that hold the word
-            for i in np.flatnonzero(dense.any(1)):
+            triples = self.own_flat[np.minimum(self.begin[p][:, None] + at, len(self.flat) - 1)] & same
+            triples[:, :-2] &= same[:, 1:-1] & same[:, 2:]
+            for i in np.flatnonzero((dense.sum(1) >= SHARE * LEAST - SLACK) | (dense & triples).any(1)):
                 key = (int(d[i]), int(p[i]))
                 marks[key] = marks[key] | dense[i] if key in marks else dense[i]
                 diagonals.setdefault(key, []).append(int(diagonal[i]))
@@ -209,7 +217,7 @@ class Index:
         for words in documents:
             bounds.append((len(flat), len(flat) + len(words)))
             flat += words + [""] * WINDOW
-        text = np.fromiter((self.number.get(w, 1) if w else 0 for w in flat), np.int32, len(flat))
+        text = np.fromiter(map(self.number.get, flat, repeat(1)), np.int32, len(flat))
         if not len(text) or not len(self.flat):
             return []
         edges = np.asarray(bounds)
