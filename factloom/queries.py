@@ -2,51 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from factloom.operators import collapse, overlap, packing
-from factloom.plans.session import table
-from factloom.registry import ORACLES, QUERIES, query
-
-from factloom.catalog import aggregates, dedup, evaluation, generate, joins, memory, more, nested, retrieval, text, tokenizing, windows  # noqa: E402, F401, I001
+from factloom.catalog import aggregates, dedup, evaluation, generate, joins, memory, more, nested, retrieval, text, tokenizing, windows  # noqa: F401
+from factloom.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
-
-
-@query("p2_found")
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_pairs(table(spark, d, "items"))
-
-
-@query("p2_report")
-def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_report(table(spark, d, "items"))
-
-
-@query("p4_packed")
-def p4_packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(table(spark, d, "windows"), table(spark, d, "pack_targets"))
-
-
-@query("p4_report")
-def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "pack_targets")
-    return packing.packing_report(packing.pack(table(spark, d, "windows"), targets), targets)
-
-
-_FOLDED = r"replace(replace(replace(replace(replace(replace(replace(regexp_replace(lower(upper(nfc_normalize(coalesce({0},'')))), '[^\p{{L}}\p{{N}}\p{{M}}]', '', 'g'), 'ß','ss'),'ς','σ'),'ﬃ','ffi'),'ﬄ','ffl'),'ﬀ','ff'),'ﬁ','fi'),'ﬂ','fl')"
-_GROUPS = f"""WITH r AS (
-  SELECT fact_id, {_FOLDED.format('a')} AS t,
-         list_sort(list_filter(list_transform(string_split(coalesce(key,''), '|'), lambda x: {_FOLDED.format('x')}), lambda y: y <> '')) AS f
-  FROM knowledge_real),
-g AS (SELECT fact_id, min(fact_id) OVER (PARTITION BY t, f) AS head FROM r)"""
-
-
-@query("p6_found", _GROUPS + " SELECT head AS id_a, fact_id AS id_b FROM g WHERE head <> fact_id")
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return collapse.format_copies(table(spark, d, "knowledge_real"))
-
-
-@query("p6_records", _GROUPS + ", c AS (SELECT head, count(*) AS copies FROM g GROUP BY head) SELECT k.fact_id, k.q, k.a, k.key, k.source, c.copies FROM knowledge_real k JOIN c ON k.fact_id = c.head")
-def p6_records(spark: SparkSession, d: str) -> DataFrame:
-    return collapse.collapse_copies(table(spark, d, "knowledge_real")).select("fact_id", "q", "a", "key", "source", "copies")
