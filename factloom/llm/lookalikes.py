@@ -30,6 +30,7 @@ TOKEN = re.compile(f"[{LETTERS}̀-ͯ{IGNORED}]+")
 FORMS = "！-～｡-ￜ￠-￮ﬀ-ﬆﬓ-ﬗĲĳǄ-ǌǱ-ǳℂℊ-ℓℕℙ-ℝℤΩℨK-ℭℯ-ℴℹℼ-ℿⅅ-ⅉ\U0001d400-\U0001d7ff"
 SUSPECT = re.compile(f"[{IGNORED}{BLANKS}{FORMS}̀-゙゚ͯ]")
 FORM = re.compile(f"[{FORMS}]+")
+UNUSUAL = re.compile(f"[{LETTERS}̀-ͯ{IGNORED}{FORMS}]+")
 JAPANESE = re.compile("[぀-ヿ㐀-鿿]")
 WIDE_SIGNS = re.compile("[！-／：-＠［-｀｛-～]")
 FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
@@ -63,30 +64,61 @@ def script(c: str) -> str:
     return "G" if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" else "C" if "Ѐ" <= c <= "ԯ" else "L"
 
 
+def spelled_out(text: str) -> str:
+    """Letters and accents apart, forms of other width, joined letters and one-character doubles as plain letters."""
+    return unicodedata.normalize("NFD", FORM.sub(lambda m: unicodedata.normalize("NFKD", m.group()), text))
+
+
 class Trie:
-    """Words as nested dictionaries; under "" stands how often the word was met."""
+    """Words, spelled out, as nested dictionaries; under "" stand the words that end there and how often each was met."""
 
     def __init__(self, words: dict[str, int]):
         self.root: dict = {}
         for w, n in words.items():
+            if SUSPECT.search(w):
+                continue
             node = self.root
-            for c in w:
+            for c in unicodedata.normalize("NFD", w):
                 node = node.setdefault(c, {})
-            node[""] = n
+            node.setdefault("", []).append((n, w))
 
-    def spell(self, token: str) -> str | None:
-        """The most frequent word at cost zero from token: look-alike letters and characters without width cost nothing, any
-        other edit is out of reach."""
-        states = [(self.root, "")]
+    def spell(self, token: str, scripts: str = "LCG", reach: int = 0) -> str | None:
+        """The word of the given scripts that a weighted edit automaton reaches from token at the least cost up to `reach`, the
+        most frequent of them. Look-alike letters cost nothing, nor do characters without width, accents apart from their
+        letter, other widths and joined letters; any other letter changed, missing or added costs 1."""
         alike = doubles()
-        for c in token:
+        states = self.skip({id(self.root): (0, self.root)}, reach)
+        for c in spelled_out(token):
             if c in IGNORED:
                 continue
-            states = [(node[x], word + x) for node, word in states for x in alike.get(c, c) if x in node]
+            after: dict[int, tuple[int, dict]] = {}
+            own = alike.get(c, c)
+            for cost, node in states.values():
+                for x in own if cost == reach else node:
+                    if x and x in node:
+                        self.enter(after, node[x], cost + (x not in own), reach)
+                self.enter(after, node, cost + 1, reach)
+            states = self.skip(after, reach)
             if not states:
                 return None
-        ends = [(node[""], word) for node, word in states if "" in node]
-        return max(ends, key=lambda e: (e[0], e[1]))[1] if ends else None
+        ends = [(-cost, n, w) for cost, node in states.values() for n, w in node.get("", ()) if {script(c) for c in w if c.isalpha()} <= set(scripts)]
+        return max(ends)[2] if ends else None
+
+    @staticmethod
+    def enter(states: dict[int, tuple[int, dict]], node: dict, cost: int, reach: int) -> None:
+        if cost <= reach and cost < states.get(id(node), (reach + 1, node))[0]:
+            states[id(node)] = (cost, node)
+
+    def skip(self, states: dict[int, tuple[int, dict]], reach: int) -> dict[int, tuple[int, dict]]:
+        """states, and those reached by letters that the token lacks."""
+        open_ = [s for s in states.values() if s[0] < reach]
+        while open_:
+            cost, node = open_.pop()
+            for x, below in node.items():
+                if x and cost + 1 <= reach and cost + 1 < states.get(id(below), (reach + 1, below))[0]:
+                    states[id(below)] = (cost + 1, below)
+                    open_.append((cost + 1, below))
+        return states
 
 
 class Canonical:
@@ -94,14 +126,19 @@ class Canonical:
         self.trie = Trie(words)
 
     def __call__(self, text: str | None) -> str | None:
-        """The consistent form of text; null and texts without unusual characters come back as they are."""
+        """The consistent form of text; null and texts without unusual characters come back as they are.
+
+        Words with unusual characters take the spelling that the automaton finds in the vocabulary; what it doesn't find, and
+        what is no word, is put right by table.
+        """
         if not text or text.isascii():
             return text
         mixed = FOREIGN.search(text) and PLAIN.search(text)
         if not mixed and not SUSPECT.search(text):
             return text
         keep = JAPANESE.search(text)
-        out = FORM.sub(lambda m: "".join(c if keep and WIDE_SIGNS.match(c) else unicodedata.normalize("NFKC", c) for c in m.group()) if len(m.group()) == 1 or keep else unicodedata.normalize("NFKC", m.group()), text)
+        out = text if keep or not self.trie.root else UNUSUAL.sub(lambda m: self.known(m.group()), text)
+        out = FORM.sub(lambda m: "".join(c if keep and WIDE_SIGNS.match(c) else unicodedata.normalize("NFKC", c) for c in m.group()) if len(m.group()) == 1 or keep else unicodedata.normalize("NFKC", m.group()), out)
         out = re.sub("[｡-ﾟ]+", lambda m: unicodedata.normalize("NFKC", m.group()), out)
         out = re.sub(f"[{BLANKS}]", " ", unicodedata.normalize("NFC", out))
         if any(c in IGNORED for c in out):
@@ -111,6 +148,13 @@ class Canonical:
             out = self.words(out)
         return out
 
+    def known(self, token: str) -> str:
+        """The vocabulary's spelling of a token with unusual characters of one script; the token itself if it has none."""
+        if not SUSPECT.search(token):
+            return token
+        scripts = {script(c) for c in spelled_out(token) if c.isalpha()}
+        return (self.trie.spell(token, next(iter(scripts))) or token) if len(scripts) == 1 else token
+
     @staticmethod
     def joins_signs(text: str, i: int) -> bool:
         """Whether the character at i joins two signs to one, as in emoji of several people."""
@@ -145,8 +189,8 @@ class Canonical:
         into = near if sure == "?" else sure
         if len(kinds) == 1 and into in kinds:
             return word
-        best = self.trie.spell(word)
-        if best is not None and {script(c) for c in best if c.isalpha()} == {into}:
+        best = self.trie.spell(word, into)
+        if best is not None:
             return best
         if len(kinds) == 1 and into != "L":  # a whole Latin word among others needs the vocabulary
             return word

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import collapse, encoding, leaks, lookalikes, overlap, packing, pairs, subjects, tokens
-from factloom.plans.session import table
+from factloom.plans.session import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,8 +43,10 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     facts = table(spark, d, "knowledge_real")
-    bad = encoding.garbled(facts).select("id")
-    return lookalikes.inconsistent_fields(facts).join(bad, "id", "left_anti").select(F.col("id").alias("fact_id"), "field")
+    found = written(lookalikes.inconsistent_fields(facts).select(F.col("id").alias("fact_id"), "field"))
+    # Only these rows need be looked at for wrong encodings.
+    bad = encoding.garbled(facts, among=facts.select("fact_id", "a").join(found.select("fact_id"), "fact_id", "left_semi")).select(F.col("id").alias("fact_id"))
+    return found.join(bad, "fact_id", "left_anti")
 
 
 @query("p5_texts")

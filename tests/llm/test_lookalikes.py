@@ -17,6 +17,18 @@ def test_no_cases(text):
     assert Canonical(WORDS)(text) == text
 
 
+def test_words_take_the_vocabulary_spelling_at_no_cost():
+    trie = Trie({"café": 4, "find": 3, "softly": 2, "сор": 3, "cop": 2})
+    assert trie.spell("cafe\u0301") == "café" and trie.spell("ﬁnd") == "find" and trie.spell("s\u200boft\u00adly") == "softly" and trie.spell("ｃｏｐ", "L") == "cop"
+    assert trie.spell("cоp", "C") == "сор" and trie.spell("cоp", "L") == "cop"
+
+
+def test_other_edits_have_weights():
+    trie = Trie({"bridge": 4, "bride": 9})
+    assert trie.spell("brldge") is None and trie.spell("brldge", reach=1) == "bridge"
+    assert trie.spell("bridg", reach=1) == "bridge" and trie.spell("bridgee", reach=1) == "bridge" and trie.spell("bridge", reach=1) == "bridge"
+
+
 def test_trie_prefers_frequent_words():
     assert Trie(WORDS).spell("rоt") == "рот" and Trie(WORDS).spell("pоt") == "рот" or Trie(WORDS).spell("pоt") == "pot"
     assert Trie(WORDS).spell("зебра") is None
