@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.overlap import slip
 from factloom.plans.session import spread
 
 #: A passage is contained from so many of its words in a row on, of which one in five may be wrong.
@@ -43,23 +44,6 @@ def tokens(text: str | None) -> list[str]:
     return WORD.findall((text if text.isascii() else unicodedata.normalize("NFKC", text)).casefold())
 
 
-def slip(a: str, b: str) -> bool:
-    """Whether few letters part a and b: one for words of up to seven letters, two for longer ones, none for those below three."""
-    most = 0 if min(len(a), len(b)) < 3 else 1 if max(len(a), len(b)) < 8 else 2
-    if a == b or abs(len(a) - len(b)) > most:
-        return a == b
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a):
-        row, above = [i + 1], rows[-1]
-        for j, y in enumerate(b):
-            cost = min(row[j] + 1, above[j + 1] + 1, above[j] + (x != y))
-            if i and j and x == b[j - 1] and y == a[i - 1]:
-                cost = min(cost, rows[-2][j - 1] + 1)
-            row.append(cost)
-        if min(row) > most:
-            return False
-        rows.append(row)
-    return rows[-1][-1] <= most
 
 
 def word_bits(word: str, walk: int) -> int:

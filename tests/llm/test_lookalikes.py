@@ -24,7 +24,7 @@ def test_words_take_the_vocabulary_spelling_at_no_cost():
 
 
 def test_other_edits_have_weights():
-    trie = Trie({"bridge": 4, "bride": 9})
+    trie = Trie({"bridge": 4, "bride": 2})
     assert trie.spell("brldge") is None and trie.spell("brldge", reach=1) == "bridge"
     assert trie.spell("bridg", reach=1) == "bridge" and trie.spell("bridgee", reach=1) == "bridge" and trie.spell("bridge", reach=1) == "bridge"
 
