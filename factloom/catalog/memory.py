@@ -177,12 +177,13 @@ def recent_expand(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).groupBy("item_id").agg(F.max(F.round(F.try_divide(0.6 * F.col("shared"), F.col("qsum")), 6)).alias("score"))
 
 
-@query("name_follow", "WITH n AS (SELECT fact_id, unnest(list_distinct(regexp_extract_all(coalesce(a, ''), '[A-Z][a-z]{5,}'))) AS name FROM knowledge_real), i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(coalesce(a, ''), '[A-Z][a-z]{5,}'))) AS name FROM items WHERE split = 'dev'), r AS (SELECT name FROM n GROUP BY name HAVING count(*) <= 20) SELECT item_id, count(DISTINCT fact_id) AS facts FROM i JOIN r USING (name) JOIN n USING (name) GROUP BY item_id")
+@query("name_follow", "WITH n AS (SELECT fact_id, unnest(list_distinct(regexp_extract_all(coalesce(a, ''), '[A-Z][a-z]{5,}'))) AS name FROM knowledge_real), i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(coalesce(a, ''), '[A-Z][a-z]{5,}'))) AS name FROM items WHERE item_id % 50 = 0), r AS (SELECT name FROM n GROUP BY name HAVING count(*) <= 0.05 * (SELECT count(*) FROM knowledge_real)) SELECT item_id, count(DISTINCT fact_id) AS facts FROM i JOIN r USING (name) JOIN n USING (name) GROUP BY item_id")
 def name_follow(spark: SparkSession, d: str) -> DataFrame:
-    """Facts that share a name with an item, by names that at most twenty facts hold."""
+    """Facts that share a name with an item, by names that at most a twentieth of the facts hold."""
     names = lambda t, key: t.select(key, F.explode(F.array_distinct(F.regexp_extract_all(T.text(F.col("a")), F.lit("[A-Z][a-z]{5,}"), 0))).alias("name"))
-    n, i = names(table(spark, d, "knowledge_real"), "fact_id"), names(table(spark, d, "items").filter("split = 'dev'"), "item_id")
-    r = n.groupBy("name").agg(F.count(F.lit(1)).alias("c")).filter("c <= 20").select("name")
+    n, i = names(table(spark, d, "knowledge_real"), "fact_id"), names(table(spark, d, "items").filter("item_id % 50 = 0"), "item_id")
+    total = F.broadcast(table(spark, d, "knowledge_real").agg(F.count(F.lit(1)).alias("n")))
+    r = n.groupBy("name").agg(F.count(F.lit(1)).alias("c")).crossJoin(total).filter("c <= 0.05 * n").select("name")
     return i.join(r, "name").join(n, "name").groupBy("item_id").agg(F.countDistinct("fact_id").alias("facts"))
 
 

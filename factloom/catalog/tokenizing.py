@@ -10,7 +10,7 @@ from factloom.operators import encoder
 from factloom.plans.session import table
 from factloom.registry import query
 
-UNIT = r" [A-Za-z]+|[A-Za-z]+| +(?= [A-Za-z])| +|\n+|\t+|[\s\S]"
+UNIT = encoder.JAVA_SCAN
 
 
 @query("scan_units")
