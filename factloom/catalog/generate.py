@@ -62,10 +62,10 @@ def window_build(spark: SparkSession, d: str) -> DataFrame:
     return i.select("conv_id", F.aggregate("xs", start, step).alias("s")).select("conv_id", "s.ids", "s.used")
 
 
-@query("doc_insert", "SELECT window_id, list_concat(list_concat(codes[1 : len(codes) // 2], [7, 7, 7]), codes[len(codes) // 2 + 1 :]) AS codes, (len(codes) // 2)::INT AS s, (len(codes) // 2 + 3)::INT AS e FROM windows WHERE len(codes) BETWEEN 2 AND 400")
+@query("doc_insert", "SELECT window_id, list_concat(list_concat(codes[1 : len(codes) // 2], [7, 7, 7]), codes[len(codes) // 2 + 1 :]) AS codes, (len(codes) // 2)::INT AS s, (len(codes) // 2 + 3)::INT AS e FROM windows WHERE codes IS NOT NULL")
 def doc_insert(spark: SparkSession, d: str) -> DataFrame:
     """A piece of three codes put into the middle of each window, with its span."""
-    w = table(spark, d, "windows").filter(F.size("codes").between(2, 400)).select("window_id", "codes", F.floor(F.size("codes") / 2).cast("int").alias("s"))
+    w = table(spark, d, "windows").filter("codes is not null").select("window_id", "codes", F.floor(F.size("codes") / 2).cast("int").alias("s"))
     new = F.concat(F.slice("codes", F.lit(1), F.col("s")), F.array(F.lit(7), F.lit(7), F.lit(7)), F.slice("codes", F.col("s") + 1, F.size("codes")))
     return w.select("window_id", new.alias("codes"), "s", (F.col("s") + 3).alias("e"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import encoder
-from factloom.plans.session import table
+from factloom.plans.session import cut, table
 from factloom.registry import query
 
 UNIT = encoder.JAVA_SCAN
@@ -63,12 +63,12 @@ def win_topk_followers(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("ctx").orderBy(F.desc("n"), "next"))).filter("rank <= 3")
 
 
-@query("ngram_features", f"WITH {_GRAMS}, t AS (SELECT ctx, sum(n)::BIGINT AS total, arg_max(next, (n, -next)) AS top FROM g GROUP BY ctx), w AS (SELECT window_id, unnest(range(1, len(codes) + 1)) AS i, codes FROM windows WHERE kind = 'qa' AND codes IS NOT NULL) SELECT window_id, (i - 1)::BIGINT AS pos, coalesce(top, -1) AS top, coalesce(total, 0) AS total FROM w LEFT JOIN t ON t.ctx = w.codes[i]")
+@query("ngram_features", f"WITH {_GRAMS}, t AS (SELECT ctx, sum(n)::BIGINT AS total, arg_max(next, (n, -next)) AS top FROM g GROUP BY ctx), w AS (SELECT window_id, unnest(range(1, len(codes) + 1)) AS i, codes FROM windows WHERE codes IS NOT NULL) SELECT window_id, (i - 1)::BIGINT AS pos, coalesce(top, -1) AS top, coalesce(total, 0) AS total FROM w LEFT JOIN t ON t.ctx = w.codes[i]")
 def ngram_features(spark: SparkSession, d: str) -> DataFrame:
-    """For every position of the qa windows its context's top follower and total, -1 and 0 where unseen."""
+    """For every position of the windows its context's top follower and total, -1 and 0 where unseen."""
     w = table(spark, d, "windows")
     t = ngrams(w, 2).groupBy(F.get("ctx", 0).alias("code")).agg(F.sum("n").alias("total"), F.max_by("next", F.struct("n", (-F.col("next")).alias("m"))).alias("top"))
-    p = w.filter("kind = 'qa' and codes is not null").select("window_id", F.posexplode("codes").alias("pos", "code"))
+    p = w.filter("codes is not null").select("window_id", F.posexplode("codes").alias("pos", "code"))
     return p.join(t, "code", "left").select("window_id", F.col("pos").cast("bigint").alias("pos"), F.coalesce("top", F.lit(-1)).alias("top"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
@@ -88,19 +88,24 @@ def stats_codes(spark: SparkSession, d: str) -> DataFrame:
     return s.join(used, "kind")
 
 
-@query("repeat_banned", "SELECT window_id, len(list_distinct(t)) AS kinds, len(t) - len(list_distinct(t)) AS repeats FROM (SELECT window_id, list_transform(range(1, len(codes) - 1), lambda i: codes[i]::VARCHAR || ' ' || codes[i + 1]::VARCHAR || ' ' || codes[i + 2]::VARCHAR) AS t FROM windows WHERE codes IS NOT NULL)")
+@query("repeat_banned", """SELECT window_id, list_sort(list_distinct(list_transform(list_filter(range(1, len(codes) - 1), lambda i: codes[i] = codes[-2] AND codes[i + 1] = codes[-1]), lambda i: codes[i + 2]))) AS banned
+FROM windows WHERE len(codes) > 2""")
 def repeat_banned(spark: SparkSession, d: str) -> DataFrame:
-    """Trigrams of a window and how many repeat an earlier one."""
-    t = F.transform(F.slice("codes", F.lit(1), F.greatest(F.size("codes") - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", x.cast("string"), F.get("codes", i + 1).cast("string"), F.get("codes", i + 2).cast("string")))
-    w = table(spark, d, "windows").filter("codes is not null").select("window_id", t.alias("t"))
-    return w.select("window_id", F.size(F.array_distinct("t")).cast("bigint").alias("kinds"), (F.size("t") - F.size(F.array_distinct("t"))).cast("bigint").alias("repeats"))
+    """The codes that may not come next, as each would repeat three codes of its window."""
+    w = table(spark, d, "windows").filter(F.size("codes") > 2)
+    last = lambda k: F.element_at("codes", -k)
+    after = F.filter(F.transform("codes", lambda x, i: F.when((x == last(2)) & (F.get("codes", i + 1) == last(1)), F.get("codes", i + 2))), lambda x: x.isNotNull())
+    return w.select("window_id", F.array_sort(F.array_distinct(after)).alias("banned"))
 
 
-@query("batch_pad", "SELECT window_id, list_concat(codes, list_transform(range(0, 256 - len(codes)), lambda i: 0)) AS padded FROM windows WHERE len(codes) BETWEEN 1 AND 256")
+@query("batch_pad", """WITH w AS (SELECT window_id, coalesce(codes, []) AS codes, max(coalesce(len(codes), 0)) OVER (PARTITION BY window_id // 64) AS n FROM windows)
+SELECT window_id, list_concat(codes, list_transform(range(0, n - len(codes)), lambda i: 0)) AS padded, list_concat(list_transform(codes, lambda c: 1), list_transform(range(0, n - len(codes)), lambda i: 0)) AS mask FROM w""")
 def batch_pad(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of up to 256 codes, filled up with zeros."""
-    w = table(spark, d, "windows").filter(F.size("codes").between(1, 256))
-    return w.select("window_id", F.concat("codes", F.array_repeat(F.lit(0), F.lit(256) - F.size("codes"))).alias("padded"))
+    """Every window filled up with zeros to the longest of its batch of 64, and a mask of what is no filling."""
+    w = table(spark, d, "windows").select("window_id", F.coalesce("codes", F.array().cast("array<int>")).alias("codes"))
+    longest = F.max(F.size("codes")).over(Window.partitionBy(F.floor(F.col("window_id") / 64)))
+    fill = w.withColumn("fill", F.array_repeat(F.lit(0), longest - F.size("codes")))
+    return fill.select("window_id", F.concat("codes", "fill").alias("padded"), F.concat(F.transform("codes", lambda _: F.lit(1)), "fill").alias("mask"))
 
 
 @query("audit_windows", "SELECT kind, count(*) AS n, count(*) FILTER (WHERE codes IS NULL OR len(codes) = 0) AS empty, count(*) FILTER (WHERE prompt_len IS NULL) AS no_prompt, count(*) FILTER (WHERE prompt_len > len(codes)) AS beyond, count(*) FILTER (WHERE len(gold) > 0) AS with_gold, count(*) - count(DISTINCT codes::VARCHAR) FILTER (WHERE codes IS NOT NULL) AS copies FROM windows GROUP BY kind")
@@ -140,15 +145,23 @@ def encode_hash(spark: SparkSession, d: str) -> DataFrame:
     return u.select("u", (part(1, 512) * 1024 + part(9, 1024)).alias("code"), "n")
 
 
-_PHRASES = "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM w WHERE len(w) > 1)"
-
-
-@query("agg_phrase_cand", _PHRASES.replace("lower(text)", "lower(replace(text, 'İ', 'i̇'))") + " SELECT phrase, count(*) AS n FROM g GROUP BY phrase HAVING count(*) >= 20")
+@query("agg_phrase_cand", """WITH w AS (SELECT regexp_extract_all(lower(replace(text, 'İ', 'i̇')), '[a-z]+') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT unnest(flatten([list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' ')) for k in [2, 3, 4]])) AS phrase FROM w)
+SELECT phrase, count(*) AS n FROM g GROUP BY phrase HAVING count(*) >= 20""")
 def agg_phrase_cand(spark: SparkSession, d: str) -> DataFrame:
-    """Two-word phrases met twenty times or more."""
-    w = table(spark, d, "documents").filter("text is not null").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w")).filter(F.size("w") > 1)
-    grams = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
-    return w.select(F.explode(grams).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
+    """Phrases of two to four words met twenty times or more. A longer phrase is at most as frequent as those inside it, so each
+    length is counted only where both its shorter ones were frequent."""
+    w = table(spark, d, "documents").filter("text is not null").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w"))
+    out, frequent = None, None
+    for k in (2, 3, 4):
+        own = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(0))), lambda x, i: F.array_join(F.slice("w", i + 1, F.lit(k)), " "))
+        grams = w.select(F.explode(own).alias("phrase"))
+        if frequent is not None:
+            for part in (F.regexp_extract("phrase", r"^(.*) ", 1), F.regexp_extract("phrase", r"^[^ ]+ (.*)$", 1)):
+                grams = grams.withColumn("part", part).join(frequent.select(F.col("phrase").alias("part")), "part", "left_semi").select("phrase")
+        frequent = cut(grams.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20"))
+        out = frequent if out is None else out.unionByName(frequent)
+    return out
 
 
 @query("agg_fidelity", "WITH u AS (SELECT w, count(*) AS n, ('0x' || substring(md5(w), 1, 3))::BIGINT AS code FROM (SELECT unnest(list_transform(regexp_extract_all(a, '[A-Za-z]+'), lambda x: lower(x))) AS w FROM knowledge_real) GROUP BY w), k AS (SELECT code, arg_max(w, (n, w)) AS kept FROM u GROUP BY code) SELECT round(sum(CASE WHEN w = kept THEN n * length(w) ELSE 0 END) / sum(n * length(w)), 9) AS exact, round(sum(CASE WHEN w <> kept THEN n * length(w) ELSE 0 END) / sum(n * length(w)), 9) AS collided FROM u JOIN k USING (code)")
