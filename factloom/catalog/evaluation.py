@@ -96,11 +96,33 @@ def history_gain(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "windows").filter("loo is not null").groupBy("kind").agg(F.round(1 - F.try_divide(F.avg(F.when(F.col("prompt_len") > 0, F.col("loo"))), F.avg("loo")), 6).alias("gain"))
 
 
-@query("tool_arith", r"""SELECT doc_id, regexp_extract(text, '([0-9]+) (?:[a-z]+ )?(?:meters|hours|days)', 1) AS x, CASE WHEN regexp_matches(text, '[0-9]+ (?:[a-z]+ )?(?:meters|hours|days)') THEN try_cast(regexp_extract(text, '([0-9]+) (?:[a-z]+ )?(?:meters|hours|days)', 1) AS BIGINT) * 2 END AS twice FROM documents WHERE text IS NOT NULL""")
+# Signs and words of the four operations.
+OPERATIONS = {"+": "plus", "-": "minus", "*": "times", "x": "times", "/": "divided by", "plus": "plus", "minus": "minus", "times": "times", "multiplied by": "times", "divided by": "divided by", "over": "divided by"}
+_NUMBER = r"(\d{1,9}(?:\.\d{1,6})?)"
+_SUM = rf"(?:^|[^\d:.\-]){_NUMBER}\s+(multiplied by|divided by|plus|minus|times|over|[-+*/x])\s+{_NUMBER}(?:[^\d:.\-]|$)"
+_OP = "CASE op " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in OPERATIONS.items()) + " END"
+
+
+@query(
+    "tool_arith",
+    f"""WITH t AS (SELECT doc_id AS id, lower(text) AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT item_id, lower(q) FROM items WHERE q IS NOT NULL UNION ALL SELECT -1, 'what is 12 plus 30?' UNION ALL SELECT -2, '7 x 2.5' UNION ALL SELECT -3, '9 over 0'),
+m AS (SELECT id, regexp_extract(t, '{_SUM}', 1) AS x, regexp_extract(t, '{_SUM}', 2) AS op, regexp_extract(t, '{_SUM}', 3) AS y FROM t),
+v AS (SELECT id, x::DOUBLE AS x, {_OP} AS op, y::DOUBLE AS y FROM m WHERE op <> '')
+SELECT id, x, op, y, round(CASE op WHEN 'plus' THEN x + y WHEN 'minus' THEN x - y WHEN 'times' THEN x * y ELSE x / y END, 6) AS value FROM v WHERE NOT (op = 'divided by' AND y = 0)""",
+)
 def tool_arith(spark: SparkSession, d: str) -> DataFrame:
-    """A number read from text and doubled: the shape of the calculator's rules."""
-    x = F.regexp_extract("text", r"([0-9]+) (?:[a-z]+ )?(?:meters|hours|days)", 1)
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", x.alias("x"), (F.try_to_number(F.when(x != "", x), F.lit("999999999999")).cast("bigint") * 2).alias("twice"))
+    """The first sum in a text, in signs or words, and what it comes to; three sums of known result stand beside the tables' texts.
+    Dividing by zero gives no row."""
+    known = spark.createDataFrame([(-1, "what is 12 plus 30?"), (-2, "7 x 2.5"), (-3, "9 over 0")], "id bigint, t string")
+    texts = table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), F.lower("text").alias("t"))
+    asked = table(spark, d, "items").filter("q is not null").select(F.col("item_id").alias("id"), F.lower("q").alias("t"))
+    part = lambda k: F.regexp_extract("t", _SUM, k)
+    names = F.create_map(*[F.lit(x) for kv in OPERATIONS.items() for x in kv])
+    found = texts.unionByName(asked).unionByName(known).select("id", part(1).alias("x"), part(2).alias("sign"), part(3).alias("y")).filter("sign <> ''")
+    v = found.select("id", F.col("x").cast("double").alias("x"), names[F.col("sign")].alias("op"), F.col("y").cast("double").alias("y")).filter("not (op = 'divided by' and y = 0)")
+    x, y, op = F.col("x"), F.col("y"), F.col("op")
+    value = F.when(op == "plus", x + y).when(op == "minus", x - y).when(op == "times", x * y).otherwise(F.try_divide(x, y))
+    return v.select("id", "x", "op", "y", F.round(value, 6).alias("value"))
 
 
 # Days of the week in order.

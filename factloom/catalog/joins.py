@@ -75,14 +75,14 @@ def join_exact_key(spark: SparkSession, d: str) -> DataFrame:
     return k.select("fact_id", F.lower(F.trim("q")).alias("k")).join(f, "k").select("fact_id", "first", "copies")
 
 
-@query("join_index_lookup", """WITH s AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(q,'')), '[a-z]{5,}'))) AS w FROM items WHERE item_id % 50 = 0),
+@query("join_index_lookup", """WITH s AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(q,'')), '[a-z]{5,}'))) AS w FROM items WHERE split <> 'train'),
 p AS (SELECT fact_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(q,'')), '[a-z]{5,}'))) AS w FROM knowledge_real),
 df AS (SELECT w, count(*) AS df FROM p GROUP BY w HAVING count(*) <= 0.05 * (SELECT count(*) FROM knowledge_real))
 SELECT item_id, fact_id, count(*) AS shared FROM s JOIN df USING (w) JOIN p USING (w) GROUP BY item_id, fact_id""")
 def join_index_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Query words to postings to facts; a word is posted if at most a twentieth of the facts hold it."""
     tokens = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(T.text(F.col(c))), F.lit("[a-z]{5,}"), 0)))
-    s = table(spark, d, "items").filter("item_id % 50 = 0").select("item_id", tokens("q").alias("w"))
+    s = table(spark, d, "items").filter("split <> 'train'").select("item_id", tokens("q").alias("w"))
     p = table(spark, d, "knowledge_real").select("fact_id", tokens("q").alias("w"))
     total = F.broadcast(table(spark, d, "knowledge_real").agg(F.count(F.lit(1)).alias("n")))
     rare = p.groupBy("w").agg(F.count(F.lit(1)).alias("df")).crossJoin(total).filter("df <= 0.05 * n").select("w")

@@ -171,17 +171,28 @@ def strict_exact(spark: SparkSession, d: str) -> DataFrame:
     return t.select("fact_id", norm("q").alias("k")).join(k, "k").groupBy("fact_id").agg(F.min("first").alias("first"))
 
 
-@query("recent_expand", _SQL.replace("WITH f AS", "WITH f AS") + " SELECT item_id, max(round(0.6 * shared / nullif(qsum, 0), 6)) AS score FROM s JOIN qs USING (item_id) GROUP BY item_id")
+_RECENT = """b AS (SELECT i.item_id, string_agg(t.text, ' ') AS q FROM items i JOIN (SELECT DISTINCT conv_id, turn, text FROM dialogues WHERE role = 'user') t ON t.conv_id = i.conv_id AND t.turn BETWEEN i.turn - 4 AND i.turn - 1 WHERE i.split <> 'train' GROUP BY i.item_id)"""
+_OWN = _SQL + ", o AS (SELECT item_id, fact_id, shared / nullif(qsum, 0) AS score FROM s JOIN qs USING (item_id)) SELECT * FROM o"
+_EARLIER = _SQL.replace("WITH f AS", "WITH " + _RECENT + ", f AS").replace("FROM items WHERE split <> 'train')", "FROM b)") + ", o AS (SELECT item_id, fact_id, 0.6 * shared / nullif(qsum, 0) AS score FROM s JOIN qs USING (item_id)) SELECT * FROM o"
+
+
+@query("recent_expand", f"SELECT item_id, fact_id, round(max(score), 6) AS score FROM (({_OWN}) UNION ALL ({_EARLIER})) GROUP BY item_id, fact_id")
 def recent_expand(spark: SparkSession, d: str) -> DataFrame:
-    """Best score of a search by words of recent turns, at six tenths."""
-    return scored(spark, d).groupBy("item_id").agg(F.max(F.round(F.try_divide(0.6 * F.col("shared"), F.col("qsum")), 6)).alias("score"))
+    """Scores of a question's own words, and at six tenths those of the user's words in the four turns before; the better counts."""
+    items = table(spark, d, "items").filter("split <> 'train'").select("item_id", "conv_id", "turn")
+    told = table(spark, d, "dialogues").filter("role = 'user'").select("conv_id", F.col("turn").alias("t"), "text").distinct()
+    before = items.join(told, "conv_id").filter("t between turn - 4 and turn - 1").groupBy("item_id").agg(F.array_join(F.collect_list("text"), " ").alias("q"))
+    share = F.try_divide("shared", "qsum")
+    own = scored(spark, d).select("item_id", "fact_id", share.alias("score"))
+    earlier = scored(spark, d, before).select("item_id", "fact_id", (0.6 * share).alias("score"))
+    return own.unionByName(earlier).groupBy("item_id", "fact_id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
-@query("name_follow", "WITH n AS (SELECT fact_id, unnest(list_distinct(regexp_extract_all(coalesce(a, ''), '[A-Z][a-z]{5,}'))) AS name FROM knowledge_real), i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(coalesce(a, ''), '[A-Z][a-z]{5,}'))) AS name FROM items WHERE item_id % 50 = 0), r AS (SELECT name FROM n GROUP BY name HAVING count(*) <= 0.05 * (SELECT count(*) FROM knowledge_real)) SELECT item_id, count(DISTINCT fact_id) AS facts FROM i JOIN r USING (name) JOIN n USING (name) GROUP BY item_id")
+@query("name_follow", "WITH n AS (SELECT fact_id, unnest(list_distinct(regexp_extract_all(coalesce(a, ''), '[A-Z][a-z]{5,}'))) AS name FROM knowledge_real), i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(coalesce(a, ''), '[A-Z][a-z]{5,}'))) AS name FROM items WHERE split <> 'train'), r AS (SELECT name FROM n GROUP BY name HAVING count(*) <= 0.05 * (SELECT count(*) FROM knowledge_real)) SELECT item_id, count(DISTINCT fact_id) AS facts FROM i JOIN r USING (name) JOIN n USING (name) GROUP BY item_id")
 def name_follow(spark: SparkSession, d: str) -> DataFrame:
     """Facts that share a name with an item, by names that at most a twentieth of the facts hold."""
     names = lambda t, key: t.select(key, F.explode(F.array_distinct(F.regexp_extract_all(T.text(F.col("a")), F.lit("[A-Z][a-z]{5,}"), 0))).alias("name"))
-    n, i = names(table(spark, d, "knowledge_real"), "fact_id"), names(table(spark, d, "items").filter("item_id % 50 = 0"), "item_id")
+    n, i = names(table(spark, d, "knowledge_real"), "fact_id"), names(table(spark, d, "items").filter("split <> 'train'"), "item_id")
     total = F.broadcast(table(spark, d, "knowledge_real").agg(F.count(F.lit(1)).alias("n")))
     r = n.groupBy("name").agg(F.count(F.lit(1)).alias("c")).crossJoin(total).filter("c <= 0.05 * n").select("name")
     return i.join(r, "name").join(n, "name").groupBy("item_id").agg(F.countDistinct("fact_id").alias("facts"))

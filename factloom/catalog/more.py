@@ -74,7 +74,7 @@ def entity_resolve(spark: SparkSession, d: str) -> DataFrame:
     return parse_statement(spark, d).filter("who <> ''").groupBy("conv_id").applyInPandas(clusters, "conv_id bigint, turn int, who string, person int")
 
 
-@query("join_chain2", """WITH q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(coalesce(a, ''), '[A-Z][a-z]{5,}'))) AS n FROM items WHERE item_id % 50 = 0), f AS (SELECT fact_id, unnest(list_distinct(regexp_extract_all(coalesce(a, ''), '[A-Z][a-z]{5,}'))) AS n FROM knowledge_real),
+@query("join_chain2", """WITH q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(coalesce(a, ''), '[A-Z][a-z]{5,}'))) AS n FROM items WHERE split <> 'train'), f AS (SELECT fact_id, unnest(list_distinct(regexp_extract_all(coalesce(a, ''), '[A-Z][a-z]{5,}'))) AS n FROM knowledge_real),
 r AS (SELECT n, min(fact_id) AS told FROM f GROUP BY n HAVING count(*) <= 0.05 * (SELECT count(*) FROM knowledge_real)), h AS (SELECT item_id, min(told) AS told FROM q JOIN r USING (n) GROUP BY item_id), w AS (SELECT fact_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(key, '')), '[a-z]{8,}'))) AS w FROM knowledge_real),
 c AS (SELECT w, min(fact_id) AS stored FROM w GROUP BY w HAVING count(*) <= 0.05 * (SELECT count(*) FROM knowledge_real)) SELECT item_id, told, min(stored) AS stored FROM h JOIN w ON w.fact_id = h.told JOIN c USING (w) GROUP BY item_id, told""")
 def join_chain2(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +83,7 @@ def join_chain2(spark: SparkSession, d: str) -> DataFrame:
     facts = table(spark, d, "knowledge_real")
     total = F.broadcast(facts.agg(F.count(F.lit(1)).alias("total")))
     r = names(facts, "fact_id").groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.min("fact_id").alias("told")).crossJoin(total).filter("c <= 0.05 * total").select("n", "told")
-    h = names(table(spark, d, "items").filter("item_id % 50 = 0"), "item_id").join(r, "n").groupBy("item_id").agg(F.min("told").alias("told"))
+    h = names(table(spark, d, "items").filter("split <> 'train'"), "item_id").join(r, "n").groupBy("item_id").agg(F.min("told").alias("told"))
     w = facts.select("fact_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(T.text(F.col("key"))), F.lit("[a-z]{8,}"), 0))).alias("w"))
     c = w.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.min("fact_id").alias("stored")).crossJoin(total).filter("c <= 0.05 * total").select("w", "stored")
     return h.join(w, h["told"] == w["fact_id"]).join(c, "w").groupBy("item_id", "told").agg(F.min("stored").alias("stored"))

@@ -111,8 +111,17 @@ def win_paragraph_starts(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.size(starts).cast("bigint").alias("starts"))
 
 
-@query("win_nearest_depth", "SELECT doc_id, s[1 + floor(len(s) * 0.5)::BIGINT] AS middle FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?]+[ \\n]+') AS s FROM documents WHERE text IS NOT NULL)")
+@query(
+    "win_nearest_depth",
+    """WITH p AS (SELECT doc_id, text, unnest(l) AS sentence, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, text, regexp_split_to_array(text, '[.!?][ \\n]') AS l FROM documents WHERE length(text) > 0)),
+a AS (SELECT doc_id, sentence, pos, (coalesce(sum(length(sentence) + 2) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / length(text) AS rel FROM p)
+SELECT doc_id, depth::DOUBLE AS depth, arg_min(pos, (round(abs(rel - depth), 9), pos))::BIGINT AS pos FROM a, (VALUES (0.1), (0.5), (0.9)) t(depth) GROUP BY ALL""",
+)
 def win_nearest_depth(spark: SparkSession, d: str) -> DataFrame:
-    """The sentence at half the depth of a document."""
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.split("text", r"[.!?]+[ \n]+").alias("s"))
-    return docs.select("doc_id", F.get("s", F.floor(F.size("s") * 0.5).cast("int")).alias("middle"))
+    """For three depths the number of the sentence that begins nearest to it, of equal ones the earlier."""
+    docs = table(spark, d, "documents").filter("length(text) > 0").select("doc_id", "text", F.posexplode(F.split("text", r"[.!?][ \n]")).alias("pos", "sentence"))
+    before = F.sum(F.length("sentence") + 2).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    placed = docs.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), (F.coalesce(before, F.lit(0)) / F.length("text")).alias("at"))
+    at = placed.withColumn("depth", F.explode(F.array(*map(F.lit, (0.1, 0.5, 0.9)))))
+    return at.groupBy("doc_id", "depth").agg(F.min_by("pos", F.struct(F.round(F.abs(F.col("at") - F.col("depth")), 9), "pos")).alias("pos"))
+
