@@ -160,9 +160,10 @@ class Vocabulary:
 
         def merged(e: Column, i: Column) -> Column:
             new = F.get(self.merged_ids, F.shiftright(F.get(e, i - 1), 20).cast("int"))
-            after = packed(self.rank(new, code(F.get(e, i + 1))), new)
             before = code(F.get(e, i - 2))
-            middle = F.when(i > 1, F.array(packed(self.rank(before, new), before), after)).otherwise(F.array(after))
+            # One mention of the rank map serves both new pairs: each would be a literal of its own in the plan.
+            mine, pair = F.struct(new.alias("l"), code(F.get(e, i + 1)).alias("r")), F.struct(before.alias("l"), new.alias("r"))
+            middle = F.transform(F.when(i > 1, F.array(pair, mine)).otherwise(F.array(mine)), lambda p: packed(self.rank(p["l"], p["r"]), p["l"]))
             return F.concat(F.slice(e, 1, F.greatest(i - 2, F.lit(0))), middle, F.slice(e, i + 2, F.lit(1 << 30)))
 
         def merge(e: Column, _: Column) -> Column:
