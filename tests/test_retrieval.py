@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-QUERIES = "answer_policy".split()
+QUERIES = "answer_policy gate".split()
 
 
 @pytest.fixture(scope="module")
