@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-QUERIES = "answer_policy gate score_union std_weight_sweep hybrid_weighted merge_round_robin score_coverage hybrid_topk lookalikes recent_expand".split()
+QUERIES = "answer_policy gate score_union std_weight_sweep hybrid_weighted merge_round_robin score_coverage hybrid_topk lookalikes recent_expand two_pool_delta".split()
 
 
 @pytest.fixture(scope="module")
