@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from factloom.llm import encoding
 from factloom.llm.encoding import Restorer, fit, garbled, undo
 
 SCHEMA = "fact_id bigint, a string, id string, t int"
@@ -56,3 +57,25 @@ def test_table(spark, corpus):
     got = [(r.id, r.restored == TEXTS[0], r.lost) for r in garbled(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert sorted(got) == [(9001, True, False), (9001, True, False), (9002, False, True)]
     assert garbled(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_margins_come_from_all_texts(spark, monkeypatch):
+    """More texts than CLEAN: the one that gains most when read is among them whatever its hash; only a share may exceed the margin."""
+    texts = [f"{t} {i}" for i in range(30) for t in TEXTS[:9]]
+    monkeypatch.setattr(encoding, "DAMAGED", "�")
+    model = encoding.Model(encoding.statistics(spark.createDataFrame([(t,) for t in texts], "a string"), "a"))
+
+    class Held:
+        value = model
+
+    rows = encoding.pd.concat(encoding.gained(Held)(iter([encoding.pd.DataFrame({"t": texts})])))
+    assert rows[rows["kind"] == "n"]["gain"].sum() == len(texts)
+    for clean in (20, 90, 1000):
+        monkeypatch.setattr(encoding, "CLEAN", clean)
+        got = encoding.fit_margins(model, spark.createDataFrame([(t,) for t in texts], "t string"))
+        for k in "uds":
+            own = sorted(rows[(rows["kind"] == k) & ~rows["garbled"].astype(bool)]["gain"], reverse=True)
+            hits = sorted(rows[(rows["kind"] == k) & rows["garbled"].astype(bool)]["gain"])
+            worst = own[len(texts) // clean] if len(own) > len(texts) // clean else 0.0
+            weak = hits[len(hits) // 50] if hits else encoding.PRIOR[k]
+            assert abs(got[k] - min(encoding.PRIOR[k], max(encoding.FLOOR, worst + 0.5 * max(0.0, weak - worst)))) < 1e-9
