@@ -27,6 +27,8 @@ from factloom.plans.session import cut, spread, written
 
 #: Records of a shard and shards searched in one scan, which bound what is broadcast; records packed together.
 SHARD_RECORDS, SHARDS, PACKED = 100_000, 8, 64
+#: Words of a record beyond which lengths aren't told apart in an index.
+LONGEST = (1 << 24) - 2
 #: Share of the words that agree, and of the distinct words that stand exactly so in both records, not up to a slip.
 SHARE, EXACT = 0.7, 0.4
 WORD = re.compile(r"[^\W_]+")
@@ -119,7 +121,7 @@ def say_the_same(a: Record, b: Record, ordinary: Callable[[str], bool], share: f
 
 def digits(words: Counter) -> frozenset[str]:
     """Words with a digit; a pair must have the same ones."""
-    return frozenset(w for w in words if any(c.isdigit() for c in w))
+    return frozenset(w for w in words if not w.isalpha() and any(c.isdigit() for c in w))
 
 
 class Index:
@@ -138,12 +140,24 @@ class Index:
         self.numbers = np.fromiter((hash_of(digits(r.words)) for r in records), np.int64, len(records))
         text, doc = self.layout(rows)
         order = self.suffixes(text, int(self.sizes.max(initial=0)) + 1)
-        self.n, self.doc = len(text), doc[order].astype(np.int32)
+        self.doc = doc[order].astype(np.int32)
         before = text[order - 1] if len(text) else text
         real = np.flatnonzero(before >= len(rows))  # a record's end sign is never searched
         by = np.argsort(before[real], kind="stable")
-        self.rows = real[by].astype(np.int32)  # by word, the sorted rows before which it stands
         self.first = np.searchsorted(before[real][by], np.arange(len(df) + 1) + len(rows)).astype(np.int32)
+        # By word, the records that hold it, in the order of what must agree: numbers, then length.
+        holds, symbol = self.doc[real[by]], before[real][by]
+        self.agree = self.numbers << 24 | np.minimum(self.lengths, LONGEST)
+        own = np.lexsort((self.agree[holds], symbol))
+        self.holds = holds[own]
+        self.keys = self.agree[self.holds]
+        # Likewise the records by their rarest word alone, for those of which all words must be among a query's.
+        some = np.flatnonzero(self.sizes)
+        rarest = np.fromiter((rows[d][0] for d in some.tolist()), np.int64, len(some))
+        own = np.lexsort((self.agree[some], rarest))
+        self.heads = some[own].astype(np.int32)
+        self.head_keys = self.agree[self.heads]
+        self.head_first = np.searchsorted(rarest[own], np.arange(len(df) + 1)).astype(np.int32)
         self.texts = [zlib.compress(pickle.dumps(fields[i : i + PACKED], protocol=5)) for i in range(0, len(fields), PACKED)]
         self.tokens = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.empty(0, np.int32)
         name = [{self.symbol[w] for w in r.names} for r in records]
@@ -187,41 +201,55 @@ class Index:
 
     def size_of(self) -> int:
         """Bytes of the index without the dictionary of words."""
-        return sum(a.nbytes for a in (self.rows, self.first, self.doc, self.tokens, self.sizes, self.lengths, self.numbers)) + sum(map(len, self.texts))
+        return sum(a.nbytes for a in (self.holds, self.keys, self.first, self.heads, self.head_keys, self.head_first, self.tokens, self.sizes, self.lengths, self.numbers)) + sum(map(len, self.texts))
 
-    def probes(self, r: Record) -> list[int]:
-        """The words from which a search must start so that no record that says the same is lost.
+    def probes(self, r: Record, numbers: list[str]) -> tuple[list[int], bool]:
+        """The words from which a search must start so that no record that says the same is lost, of which one posting is enough
+        where it returns True: then the other record holds them all, or all of its words are among this one's.
 
         All words with digits stand in both records. All names do, but for one at the head of a phrase that this record has
         beside all of the other. A record of k distinct words that shares s of them shares one of its k - s + 1 rarest.
         """
-        numbers = sorted(digits(r.words))
         if any(w not in self.symbol for w in numbers):
-            return []
+            return [], False
+        sure = [self.symbol[w] for w in numbers]
+        if r.names:
+            absent = sum(w not in self.symbol for w in r.names)
+            return ([], absent == 1) if absent else ([*sure, *(self.symbol[w] for w in r.names)], True)
         if numbers:
-            return [min(self.symbol[w] for w in numbers)]
-        names = sorted(self.symbol[w] for w in r.names if w in self.symbol)
-        absent, k, n = len(r.names) - len(names), len(r.words), r.words.total()
-        if absent > 1:
-            return []
-        if len(names) + absent > 1:
-            return names[: 2 - absent]
+            return [min(sure)], False
+        k = len(r.words)
         known = sorted(self.symbol[w] for w in r.words if w in self.symbol)
-        # With a name that may be of an added phrase, the other record lacks only that phrase's words.
-        shared = math.ceil(EXACT * k) if not r.names else k - int((1 - SHARE) * n)
-        reach = max(0, k - shared + 1 - (k - len(known)))
-        return sorted({*names, *known[:reach]})
+        return known[: max(0, k - math.ceil(EXACT * k) + 1 - (k - len(known)))], False
 
     def candidates(self, records: list[Record]) -> Iterator[tuple[int, np.ndarray]]:
         """(query, records) that share what a pair must share, by the rows of the index that follow the query's probes."""
         for q, r in enumerate(records):
-            probes = self.probes(r) if r.words else []
-            if not probes:
+            if not r.words:
+                continue
+            numbers = digits(r.words)
+            probes, either = self.probes(r, sorted(numbers))
+            if not probes and not either:
+                continue
+            n, own = r.words.total(), hash_of(numbers) << 24
+            ends = np.array([own | min(math.floor(SHARE * n), LONGEST), own | min(math.ceil(n / SHARE), LONGEST) + 1])
+            hits = []
+            for x in probes:
+                at = self.first[x]
+                lo, hi = self.keys[at : self.first[x + 1]].searchsorted(ends)
+                hits.append(self.holds[at + lo : at + hi])
+            if either:
+                hits = [min(hits, key=len)] if hits else []
+                words = [x for w in r.words if (x := self.symbol.get(w)) is not None and self.head_first[x] < self.head_first[x + 1]]
+                for x in words:
+                    at = self.head_first[x]
+                    lo, hi = self.head_keys[at : self.head_first[x + 1]].searchsorted(ends)
+                    hits.append(self.heads[at + lo : at + hi])
+            hits = [h for h in hits if len(h)]
+            if not hits:
                 continue
-            hits = [self.doc[self.rows[self.first[x] : self.first[x + 1]]] for x in probes]
             d = hits[0] if len(hits) == 1 else np.unique(np.concatenate(hits))
-            n = r.words.total()
-            d = d[(self.numbers[d] == hash_of(digits(r.words))) & (self.lengths[d] >= SHARE * n) & (self.lengths[d] * SHARE <= n)]
+            d = d[(self.lengths[d] >= SHARE * n) & (self.lengths[d] * SHARE <= n)]
             if not len(d):
                 continue
             mine = np.fromiter(sorted(self.symbol[w] for w in r.words if w in self.symbol), np.int32)

@@ -69,3 +69,29 @@ def test_templated_text_against_comparing_all(spark):
     rows = [(j, "dev", "fact", "", h, 0) for j, h in enumerate(held)] + [(1000 + i, "train", "fact", "", t, 0) for i, t in enumerate(train)]
     got = {(r.train_id, r.eval_id) for r in cross_split(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert want and got == want
+
+
+def test_candidates_by_name_or_by_containment():
+    """Of records that share only ordinary words with a named one few are looked at, and none is lost that holds its names or lies in it."""
+    import numpy as np
+
+    from factloom.llm import overlap
+
+    rng = random.Random(5)
+    common = "the old bridge near river was built by people who lived there when water rose again each spring".split()
+    fields = []
+    for i in range(600):
+        name, words = "Na" + "".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(3)), rng.sample(common, 9)
+        extra = rng.choice(["", f" in {rng.randint(1, 40)}", f" with Na{rng.choice('bdfg')}a"])
+        fields += [(f"Where is {name}", " ".join(words) + extra), (f"Where is {name}", " ".join(words[:8]) + extra), ("where", " ".join(words[:9]))]
+    index = overlap.Index(np.arange(len(fields)), fields)
+    records = [overlap.read_record(f) for f in fields]
+    looked, seen = 0, overlap.say_the_same
+    same = {(q, d) for q in range(0, len(fields), 37) for d in range(len(fields)) if seen(records[q], records[d], index.common.__contains__)}
+    got = set()
+    for q in range(0, len(fields), 37):
+        for _, found in index.candidates([records[q]]):
+            got |= {(q, d) for d in found.tolist() if seen(records[q], records[d], index.common.__contains__)}
+        probes, either = index.probes(records[q], sorted(overlap.digits(records[q].words)))
+        looked += bool(records[q].names) and either
+    assert {(q, d) for q, d in same if records[q].names} <= got and looked > 5
