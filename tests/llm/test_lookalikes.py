@@ -40,3 +40,12 @@ def test_table(spark):
     df = spark.createDataFrame(rows, schema)
     assert sorted((r.id, r.field) for r in inconsistent_fields(df).collect()) == [(1, "q"), (2, "a"), (5, "a"), (5, "a"), (5, "q"), (5, "q")]
     assert consistent(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_encodings_are_judged_by_all_texts():
+    """p5 leaves out wrong encodings by a fit that takes no number of sample texts."""
+    import inspect
+
+    from factloom.llm import encoding
+
+    assert "sample" not in inspect.signature(encoding.fit).parameters and "sample" not in inspect.signature(encoding.statistics).parameters
