@@ -41,3 +41,25 @@ def test_odd_rows_as_sql(spark, tables, name, size, monkeypatch):
     df = entry.queries()[name](spark, tables[0])
     got = tables[1].execute(f"SELECT {', '.join(df.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert len(got) > 0 and sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, got))
+
+
+@pytest.fixture
+def shared_questions(spark, tmp_path, monkeypatch):
+    """200 facts and 90 questions, of which 3 are different, in shards of 7 facts."""
+    monkeypatch.setattr("factloom.catalog.retrieval.SHARD_FACTS", 7)
+    facts = [(i, f"alpha{chr(97 + i % 25)} beta{chr(97 + i % 23)} common" if i % 11 else f"word{'xyz'[i % 3]}", "a") for i in range(6000)]
+    asked = [(i, "dev", 1, i, ("alphab betac", "wordx common", "betac alphab common")[i % 3], "a") for i in range(90)]
+    for name, schema, rows in (("knowledge_real", "fact_id long, key string, a string", facts), ("items", "item_id long, split string, conv_id long, turn int, q string, a string", asked)):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_top_facts_leave_a_task_once(spark, shared_questions):
+    """hybrid_topk: facts are sent once, by a number of their id, and a task gives five of all its shards for each different question."""
+    plan = entry.queries()["hybrid_topk"](spark, shared_questions)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("hashpartitioning(id#", "hashpartitioning(item_id#"))
+    from factloom.catalog import retrieval
+
+    best, asked = retrieval.searched_once(spark, shared_questions)
+    assert asked.count() == 90 and asked.select("bag").distinct().count() == 3
+    assert 15 <= best.count() <= 15 * spark.sparkContext.defaultParallelism
