@@ -63,3 +63,12 @@ def test_top_facts_leave_a_task_once(spark, shared_questions):
     best, asked = retrieval.searched_once(spark, shared_questions)
     assert asked.count() == 90 and asked.select("bag").distinct().count() == 3
     assert 15 <= best.count() <= 15 * spark.sparkContext.defaultParallelism
+
+
+def test_merged_lists_search_once(spark, shared_questions):
+    """merge_round_robin: nothing is exchanged by the ids of items or of facts before the lists are merged."""
+    df = entry.queries()["merge_round_robin"](spark, shared_questions)
+    by = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert sum("fact_id#" in x for x in by) == 1 and not any("(id#" in x or "(item_id#" in x for x in by)
+    got = {r["fact_id"]: r["place"] for r in df.collect()}
+    assert len(got) == 10 and set(got.values()) == {10, 20, 30, 40, 50}
