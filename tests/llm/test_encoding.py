@@ -79,3 +79,27 @@ def test_margins_come_from_all_texts(spark, monkeypatch):
             worst = own[len(texts) // clean] if len(own) > len(texts) // clean else 0.0
             weak = hits[len(hits) // 50] if hits else encoding.PRIOR[k]
             assert abs(got[k] - min(encoding.PRIOR[k], max(encoding.FLOOR, worst + 0.5 * max(0.0, weak - worst)))) < 1e-9
+
+
+def test_margins_weigh_every_garbling(spark):
+    """Each clean text counts with all its garblings that lead back, each with the gain that reading it gives; none is drawn."""
+    texts = TEXTS[:8]
+    model = encoding.Model(encoding.statistics(spark.createDataFrame([(t,) for t in texts], "a string"), "a"))
+
+    class Held:
+        value = model
+
+    free, ways = Restorer(model, {}), [("utf-8", w) for w in encoding.UTF8_AS] + [*encoding.DOUBLE_BYTE, *encoding.SINGLE_BYTE]
+    for text in texts:
+        want = []
+        for true, decoder in ways:
+            try:
+                bad = text.encode(true).decode("latin-1").translate(encoding.bytes_as(decoder))
+            except UnicodeEncodeError:
+                continue
+            if bad != text:
+                want += [(kind, round(gain, 6)) for gain, kind, chains, make in free.gains(free.read(bad), 0, len(bad), "us") if chains == ((true, decoder),) and make() == text]
+        rows = encoding.pd.concat(encoding.gained(Held)(iter([encoding.pd.DataFrame({"t": [text]})])))
+        if rows["gain"][rows["kind"] == "n"].sum():
+            own = rows[rows["garbled"].astype(bool)]
+            assert len(want) > 10 and sorted(want) == sorted(zip(own["kind"], own["gain"].round(6)))
