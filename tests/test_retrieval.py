@@ -72,3 +72,40 @@ def test_merged_lists_search_once(spark, shared_questions):
     assert sum("fact_id#" in x for x in by) == 1 and not any("(id#" in x or "(item_id#" in x for x in by)
     got = {r["fact_id"]: r["place"] for r in df.collect()}
     assert len(got) == 10 and set(got.values()) == {10, 20, 30, 40, 50}
+
+
+EVERY = ["gate"]
+
+
+@pytest.mark.parametrize("name", EVERY)
+def test_common_words_bring_candidates(spark, tmp_path, name):
+    """A fact that shares with a question only a word that most facts hold is met too; questions of words without weight give no score."""
+    facts = [(i, "common often" if i < 30 else f"common w{chr(97 + i - 30)}x", "a") for i in range(50)]
+    asked = [(1, "dev", 1, 0, "often", "a"), (2, "dev", 1, 1, "common", "a"), (3, "dev", 1, 2, "often wax", "a")]
+    con = duckdb.connect()
+    for table, schema, rows in (("knowledge_real", "fact_id long, key string, a string", facts), ("items", "item_id long, split string, conv_id long, turn int, q string, a string", asked)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path := str(tmp_path / f"{table}.parquet"))
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/*.parquet'")
+    df = entry.queries()[name](spark, str(tmp_path))
+    rows = df.collect()
+    assert sum(r["kept"] if name == "gate" else 1 for r in rows if r["item_id"] == 1) == 30
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, con.execute(f"SELECT {', '.join(df.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()))
+
+
+def test_bar_loses_no_fact():
+    """With a bar all facts that reach it have the weight they have without, also where ids stand twice."""
+    import numpy as np
+    import pyarrow as pa
+
+    from factloom.catalog.retrieval import Shard
+
+    rng = np.random.default_rng(3)
+    for ids in (np.arange(300), np.arange(300) // 2):
+        ws = [np.flatnonzero(rng.random(20) < np.linspace(0.9, 0.02, 20)).tolist() for _ in ids]
+        shard = Shard(pa.table({"id": ids, "total": np.ones(len(ids)), "ws": pa.array(ws, pa.list_(pa.int64()))}))
+        for _ in range(50):
+            asked = rng.permutation(25)[:7]
+            idf = np.linspace(0.1, 4, 25)[asked]
+            bar = 0.3 * idf.sum()
+            every, some = (dict(zip(f.tolist(), s.round(9).tolist())) for f, s in (shard.match(shard.places(asked), idf), shard.match(shard.places(asked), idf, bar)))
+            assert {k: v for k, v in some.items() if v >= bar} == {k: v for k, v in every.items() if v >= bar}
