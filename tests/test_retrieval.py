@@ -74,7 +74,7 @@ def test_merged_lists_search_once(spark, shared_questions):
     assert len(got) == 10 and set(got.values()) == {10, 20, 30, 40, 50}
 
 
-EVERY = ["gate", "hybrid_weighted"]
+EVERY = ["gate", "hybrid_weighted", "score_coverage"]
 
 
 @pytest.mark.parametrize("name", EVERY)
