@@ -109,3 +109,17 @@ def test_bar_loses_no_fact():
             bar = 0.3 * idf.sum()
             every, some = (dict(zip(f.tolist(), s.round(9).tolist())) for f, s in (shard.match(shard.places(asked), idf), shard.match(shard.places(asked), idf, bar)))
             assert {k: v for k, v in some.items() if v >= bar} == {k: v for k, v in every.items() if v >= bar}
+
+
+def test_two_pools(spark, tmp_path):
+    """two_pool_delta: three facts and two earlier turns of the own conversation at most, each within 0.25 of its pool's best."""
+    facts = [(i, "red" + chr(97 + i) + " boat", "a") for i in range(20)] + [(30 + i, "amber gate", "a") for i in range(5)] + [(40 + i, f"fill{chr(97 + i % 26)}{chr(97 + i // 26)}", "a") for i in range(100)]
+    asked = [(1, "dev", 1, 9, "amber gate kept", "a")]
+    told = [(1, 1, "user", "the amber gate"), (1, 2, "user", "amber gate kept"), (1, 3, "user", "gate kept amber"), (1, 4, "user", "kept"), (1, 5, "assistant", "amber gate kept"), (1, 9, "user", "amber gate kept"), (2, 1, "user", "amber gate kept")]
+    con = duckdb.connect()
+    for table, schema, rows in (("knowledge_real", "fact_id long, key string, a string", facts), ("items", "item_id long, split string, conv_id long, turn int, q string, a string", asked), ("dialogues", "conv_id long, turn int, role string, text string", told)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path := str(tmp_path / f"{table}.parquet"))
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/*.parquet'")
+    rows = entry.queries()["two_pool_delta"](spark, str(tmp_path)).collect()
+    assert sorted((r["pool"], r["fact_id"] or r["turn"]) for r in rows) == [("fact", 32), ("fact", 33), ("fact", 34), ("turn", 2), ("turn", 3)]
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, con.execute(entry.oracle_sql()["two_pool_delta"]).fetchall()))
