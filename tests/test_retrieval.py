@@ -123,3 +123,17 @@ def test_two_pools(spark, tmp_path):
     rows = entry.queries()["two_pool_delta"](spark, str(tmp_path)).collect()
     assert sorted((r["pool"], r["fact_id"] or r["turn"]) for r in rows) == [("fact", 32), ("fact", 33), ("fact", 34), ("turn", 2), ("turn", 3)]
     assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, con.execute(entry.oracle_sql()["two_pool_delta"]).fetchall()))
+
+
+def test_answer_policy(spark, tmp_path):
+    """One word apart is to be clarified, unless the question has the word; exact questions are answered, others of one word or without a fact are not."""
+    facts = [(1, "sam birthday party", "a"), (2, "eli birthday party", "a"), (3, "sky blue why", "a"), (4, "sky appears blue colour", "a"), (5, "solo", "a")] + [(40 + i, f"fill{chr(97 + i % 26)}{chr(97 + i // 26)}", "a") for i in range(100)]
+    texts = ["birthday party", "birthday party eli when", "sky blue", "sam birthday party", "solo", "unknown words", None]
+    asked = [(i, "dev", 1, i, q, "a") for i, q in enumerate(texts)]
+    con = duckdb.connect()
+    for table, schema, rows in (("knowledge_real", "fact_id long, key string, a string", facts), ("items", "item_id long, split string, conv_id long, turn int, q string, a string", asked)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path := str(tmp_path / f"{table}.parquet"))
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/*.parquet'")
+    rows = sorted(map(tuple, entry.queries()["answer_policy"](spark, str(tmp_path)).collect()))
+    assert rows == list(enumerate(["clarify", "answer", "answer", "answer", "abstain", "abstain", "abstain"]))
+    assert rows == sorted(con.execute(entry.oracle_sql()["answer_policy"]).fetchall())
